@@ -27,8 +27,40 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
 
 
+def op2_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import chunking
+
+    return chunking.edited_likeness(documents(spark, sf_dir))
+
+
+def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import packing
+
+    found = packing.pieces(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.tiktoken"), _pattern(), end_id=2, capacity=1024)
+    return packing.pack(found, 1024)
+
+
+def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from textloom.llm import sharding
+
+    dealt = sharding.shard(sharding.document_rows(documents(spark, sf_dir)), 40, seed=5)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import jpeg
+
+    return jpeg.text_media_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_chunk_fingerprints": op2_chunk_fingerprints,
+    "op3_bin_completion": op3_bin_completion,
+    "op5_hypergeometric_shards": op5_hypergeometric_shards,
+    "op6_jpeg_media": op6_jpeg_media,
 }
 
 #: DuckDB SQL, where SQL can express an operator.
