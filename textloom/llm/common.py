@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -76,6 +77,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of phases whose results are already in tables."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and offsets without copying rows; nulls read as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -40,6 +40,12 @@ def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(found, 1024)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import minhash
+
+    return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+
+
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chunk_fingerprints": op2_chunk_fingerprints,
     "op3_bin_completion": op3_bin_completion,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_hypergeometric_shards": op5_hypergeometric_shards,
     "op6_jpeg_media": op6_jpeg_media,
 }
