@@ -61,6 +61,12 @@ def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.text_media_digests(documents(spark, sf_dir))
 
 
+def op8_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import substrings
+
+    return substrings.removals(documents(spark, sf_dir), length=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chunk_fingerprints": op2_chunk_fingerprints,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_hypergeometric_shards": op5_hypergeometric_shards,
     "op6_jpeg_media": op6_jpeg_media,
+    "op8_seed_extend": op8_seed_extend,
 }
 
 #: DuckDB SQL, where SQL can express an operator.
