@@ -67,6 +67,16 @@ def op8_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removals(documents(spark, sf_dir), length=20)
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from textloom.llm import quality
+
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, quality.ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), 3)
+    return quality.score(docs, model, ["doc_id"]).withColumn("kept", F.coalesce(F.col("tail_top") >= 0.5, F.lit(True)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chunk_fingerprints": op2_chunk_fingerprints,
@@ -75,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hypergeometric_shards": op5_hypergeometric_shards,
     "op6_jpeg_media": op6_jpeg_media,
     "op8_seed_extend": op8_seed_extend,
+    "op9_ordinal_quality": op9_ordinal_quality,
 }
 
 #: DuckDB SQL, where SQL can express an operator.
