@@ -77,6 +77,17 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ["doc_id"]).withColumn("kept", F.coalesce(F.col("tail_top") >= 0.5, F.lit(True)))
 
 
+def op10_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from textloom.llm import langid
+
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
+    return langid.identify(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chunk_fingerprints": op2_chunk_fingerprints,
@@ -86,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jpeg_media": op6_jpeg_media,
     "op8_seed_extend": op8_seed_extend,
     "op9_ordinal_quality": op9_ordinal_quality,
+    "op10_kneser_ney_langid": op10_kneser_ney_langid,
 }
 
 #: DuckDB SQL, where SQL can express an operator.
