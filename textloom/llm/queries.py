@@ -61,6 +61,12 @@ def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.text_media_digests(documents(spark, sf_dir))
 
 
+def op7_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import pii
+
+    return pii.find(documents(spark, sf_dir))
+
+
 def op8_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm import substrings
 
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_hypergeometric_shards": op5_hypergeometric_shards,
     "op6_jpeg_media": op6_jpeg_media,
+    "op7_weak_pii": op7_weak_pii,
     "op8_seed_extend": op8_seed_extend,
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_kneser_ney_langid": op10_kneser_ney_langid,
