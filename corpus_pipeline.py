@@ -1,11 +1,82 @@
-"""Stages over the documents table; filled as the operators arrive."""
+"""A training corpus from the documents table, in five stages.
 
-STAGES: list = []
+Each stage takes the documents its predecessor kept, as written Parquet, and
+returns documents with all their columns; the last returns packed pieces.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import minhash, packing, pii, quality, substrings
+from textloom.llm.common import shared_dir
+
+
+def _with_text(docs: DataFrame, text: DataFrame) -> DataFrame:
+    """docs with the texts of (doc_id, text) in place of their own, and n_chars following."""
+    new = text.select(F.col("doc_id").alias("__id"), F.col("text").alias("__new"))
+    both = docs.join(new, docs["doc_id"].eqNullSafe(new["__id"]), "left")
+    return _counted(both.withColumn("text", F.coalesce("__new", "text")).select(*docs.columns))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the top grade (good and not toxic) is at least a half."""
+    model = quality.fit(docs, quality.ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), 3)
+    return quality.select(docs, model)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each class of near-duplicates; repeated rows of an id are one."""
+    found = minhash.near_duplicates(docs, words=5, percent=80)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    left = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    named = left.where("doc_id is not null")
+    return named.dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 20 words or more that a document before has too."""
+    return _with_text(docs, substrings.without_repeats(docs, length=20))
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return _counted(pii.redacted(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens, packed into sequences of at most 1024."""
+    found = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=2, capacity=1024)
+    return packing.pack(found, 1024)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("PII", pii_redaction),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: SQL can express neither the fitted classifiers nor the tokenizer; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each written as Parquet to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    top = f"{shared_dir(spark)}/textloom-pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
+        docs = spark.read.parquet(f"{top}/{k}")
     return docs

@@ -167,23 +167,26 @@ def _unpack(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def reliabilities(kind: np.ndarray, v: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each pattern being personal data, and P(vote | class) as (labeler, class, vote + 1), by EM."""
+    """Posterior of each pattern being personal data, and P(vote is +1 | class, it votes) as (labeler, class), by EM.
+
+    A labeler that doesn't vote says nothing; the prior is of the kind.
+    """
     p = 1 / (1 + np.exp(-1.5 * v.sum(1)))
-    table_ = np.zeros((LABELERS, 2, 3))
+    right = np.zeros((LABELERS, 2))
     for _ in range(rounds):
         both = np.stack((counts * (1 - p), counts * p))
         prior = np.array([[(both[c] * (kind == k)).sum() + 1 for c in (0, 1)] for k in range(len(KINDS))])
         prior /= prior.sum(1, keepdims=True)
         for i in range(LABELERS):
-            for x in (-1, 0, 1):
+            for c in (0, 1):
+                yes, no = (both[c] * (v[:, i] == 1)).sum(), (both[c] * (v[:, i] == -1)).sum()
                 # smoothed towards a labeler that is right more often than not
-                table_[i, :, x + 1] = [(both[c] * (v[:, i] == x)).sum() + (3 if x == 2 * c - 1 else 1) for c in (0, 1)]
-        table_ /= table_.sum(2, keepdims=True)
+                right[i, c] = (yes + (3 if c else 1)) / (yes + no + 4)
         logit = np.log(prior[kind, 1]) - np.log(prior[kind, 0])
         for i in range(LABELERS):
-            logit = logit + np.log(table_[i, 1, v[:, i] + 1]) - np.log(table_[i, 0, v[:, i] + 1])
+            logit = logit + np.where(v[:, i] == 1, np.log(right[i, 1] / right[i, 0]), np.where(v[:, i] == -1, np.log((1 - right[i, 1]) / (1 - right[i, 0])), 0.0))
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return p, table_
+    return p, right
 
 
 def train(keys: np.ndarray, counts: np.ndarray, steps: int = 400) -> dict[int, float]:
