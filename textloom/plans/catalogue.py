@@ -1,14 +1,145 @@
-"""Registered queries over the star-schema tables, with the DuckDB SQL that must agree."""
+"""Registered queries over the star-schema tables, with the DuckDB SQL that must agree.
+
+The relational operators are declared as SQL over Parquet views; what the
+library adds itself (functions, text, SQLite and cache sources) runs through
+its own modules. Where Spark and DuckDB read the same text alike, one string
+serves both.
+"""
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views are resolved when the text is analysed, so those of another folder may follow."""
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", text):
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+def both(name: str, spark_sql: str, oracle: str | None = None) -> None:
+    QUERIES[name] = functools.partial(_run, spark_sql)
+    ORACLE_SQL[name] = spark_sql if oracle is None else oracle
+
+
+FLAGSHIP = """
+select event_type, count(*) as cnt, round(sum(value) / 1024.0 / 1024, 6) as total
+from events group by event_type order by total desc, event_type limit 3"""
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The flagship shape (group, count, scaled sum, order, limit) through file-name SQL."""
+    from textloom.engine import Engine
+
+    path = f"{sf_dir}/events.parquet"
+    return Engine(spark).sql(re.sub(r"\bfrom events\b", f"from {path}", FLAGSHIP))
+
+
+QUERIES["sum_kb_group"] = functools.partial(_run, FLAGSHIP)
+ORACLE_SQL["sum_kb_group"] = FLAGSHIP
+
+# --- projection, filters, expressions
+both("scan_project", "select c_custkey, c_name from customer")
+both("project_star_alias", "select n.* from nation n where n.n_regionkey = 1")
+both("select_no_from", "select 1 + 2 as a, 'x' as b, cast(null as string) as c", "select 1 + 2 as a, 'x' as b, cast(null as varchar) as c")
+both("filter_pred", "select o_orderkey, o_orderpriority from orders where o_totalprice > 1000 and not (o_orderstatus = 'P') and o_orderpriority like '1%' and o_orderstatus in ('O', 'F') and o_custkey between 10 and 900")
+both("filter_eq_forms", "select s_suppkey from supplier where s_nationkey = 3 or s_suppkey == 7 or (s_nationkey <> 4 and s_nationkey != 5 and s_acctbal < 0)")
+both("filter_nulls", "select o_orderkey, nullif(o_orderstatus, 'P') is null as p, nullif(o_orderstatus, 'O') is not null as q from orders where nullif(o_orderstatus, 'F') is not null")
+both("null_safe_eq", "select n_nationkey, (nullif(n_regionkey, 1) <=> cast(null as int)) as same from nation", "select n_nationkey, (nullif(n_regionkey, 1) is not distinct from null) as same from nation")
+both("like_nocase", "select n_name from nation where n_name ilike '%an%'")
+both("glob_as_regex", r"select n_name from nation where n_name rlike '^N[A-Z_0-9]*[0-9]$'", r"select n_name from nation where regexp_matches(n_name, '^N[A-Z_0-9]*[0-9]$')")
+both("collate_nocase", "select count(*) as n from nation where lower(n_name) = lower('Nation_3')")
+both("case_null", "select o_orderkey, case when o_totalprice > 200000 then 'big' when o_totalprice > 100000 then 'mid' else 'small' end as size, coalesce(nullif(o_orderstatus, 'O'), 'none') as st, if(o_custkey > 100, 1, 0) as f from orders")
+both("int_div", "select l_orderkey, l_linenumber, l_partkey div 7 as d, l_partkey % 7 as m from lineitem", "select l_orderkey, l_linenumber, l_partkey // 7 as d, l_partkey % 7 as m from lineitem")
+both("divide_by_zero", "select n_nationkey, try_divide(cast(n_nationkey as double), cast(n_regionkey as double)) as q from nation", "select n_nationkey, case when n_regionkey = 0 then null else cast(n_nationkey as double) / n_regionkey end as q from nation")
+both("bit_ops", "select n_nationkey, n_nationkey & 6 as a, n_nationkey | 8 as o, ~n_nationkey as n, shiftleft(n_nationkey, 2) as l, shiftright(n_nationkey, 1) as r from nation", "select n_nationkey, n_nationkey & 6 as a, n_nationkey | 8 as o, ~n_nationkey as n, n_nationkey << 2 as l, n_nationkey >> 1 as r from nation")
+both("casts", "select c_custkey, cast(c_acctbal as string) is null as s, cast(trunc_ as bigint) as t, try_cast(c_mktsegment as int) as bad from (select c_custkey, c_acctbal, c_mktsegment, case when c_acctbal < 0 then ceil(c_acctbal) else floor(c_acctbal) end as trunc_ from customer) x", "select c_custkey, cast(c_acctbal as varchar) is null as s, cast(trunc_ as bigint) as t, try_cast(c_mktsegment as int) as bad from (select c_custkey, c_acctbal, c_mktsegment, case when c_acctbal < 0 then ceil(c_acctbal) else floor(c_acctbal) end as trunc_ from customer) x")
+both("concat_op", "select n_nationkey, n_name || '-' || cast(n_regionkey as string) as s, n_name || nullif(n_name, n_name) as z from nation", "select n_nationkey, n_name || '-' || cast(n_regionkey as varchar) as s, n_name || nullif(n_name, n_name) as z from nation")
+both("distinct_rows", "select distinct o_orderstatus, o_orderpriority from orders")
+both("row_values", "select n_nationkey from nation where (n_regionkey, n_nationkey) in ((1, 1), (2, 8), (3, 3))")
+
+# --- joins
+both("inner_join", "select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey = c.c_custkey where o.o_totalprice > 300000")
+both("left_join", "select c.c_custkey, count(o.o_orderkey) as n from customer c left join orders o on c.c_custkey = o.o_custkey group by c.c_custkey")
+both("right_join", "select o.o_orderkey, n.n_name from orders o right join nation n on o.o_custkey = n.n_nationkey * 3")
+both("full_outer", "select c.c_custkey, s.s_suppkey from customer c full outer join supplier s on c.c_custkey = s.s_suppkey * 20")
+both("expr_equi_join", "select n.n_name, c.c_custkey from nation n join customer c on n.n_nationkey * 10 = c.c_custkey")
+both("cross_join", "select r_name, n_name from region cross join nation")
+both("comma_join", "select r.r_name, n.n_name from region r, nation n where r.r_regionkey = n.n_regionkey")
+both("theta_join", "select a.n_name as a_name, b.n_name as b_name from nation a join nation b on a.n_nationkey < b.n_nationkey and a.n_regionkey = b.n_regionkey")
+both("range_join", "select s.s_suppkey, count(*) as n from supplier s join customer c on c.c_acctbal between s.s_acctbal - 5 and s.s_acctbal + 5 group by s.s_suppkey")
+both("self_join3", "select a.n_name as x, b.n_name as y, c.n_name as z from nation a join nation b on a.n_regionkey = b.n_regionkey join nation c on b.n_nationkey = c.n_nationkey + 1")
+both("using_join", "select n_regionkey, count(*) as n from nation a join nation b using (n_regionkey) group by n_regionkey")
+both("natural_join", "select k, a_name, b_name from (select n_nationkey as k, n_name as a_name from nation) x natural join (select s_nationkey as k, s_name as b_name from supplier) y")
+both("semi_exists", "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 350000)")
+both("in_subq", "select s_name from supplier where s_nationkey in (select n_nationkey from nation where n_regionkey = 2)")
+both("anti_not_exists", "select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 400000)")
+both("not_in_subq", "select n_name from nation where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 5000)")
+both("not_in_null_subq", "select count(*) as n from nation where n_nationkey not in (select nullif(s_nationkey, 3) from supplier)")
+
+# --- aggregation
+both("agg_basic", "select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 4) as q, round(avg(l_extendedprice), 4) as p, min(l_discount) as lo, max(l_tax) as hi from lineitem group by l_returnflag, l_linestatus")
+both("pricing_summary", "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as cnt from lineitem where l_shipdate <= timestamp '1998-09-02 00:00:00' group by l_returnflag, l_linestatus", "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as cnt from lineitem where l_shipdate <= timestamp '1998-09-02 00:00:00' group by l_returnflag, l_linestatus")
+both("count_forms", "select count(*) as a, count(1) as b, count(nullif(o_orderstatus, 'O')) as c from orders")
+both("count_distinct", "select o_orderstatus, count(distinct o_custkey) as n, count(distinct o_orderpriority) as m from orders group by o_orderstatus")
+both("group_having_alias", "select o_custkey, count(*) as n from orders group by o_custkey having n > 12")
+both("group_expr_ordinal", "select o_custkey % 10 as k, count(*) as n from orders group by 1")
+both("filter_agg", "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as f, round(sum(o_totalprice) filter (where o_custkey < 500), 2) as s from orders group by o_orderpriority")
+both("total_agg", "select o_orderpriority, coalesce(cast(sum(case when o_custkey < 0 then 1 end) as double), 0d) as t from orders group by o_orderpriority", "select o_orderpriority, coalesce(cast(sum(case when o_custkey < 0 then 1 end) as double), 0) as t from orders group by o_orderpriority")
+both("group_concat", "select n_regionkey, listagg(n_name, ',') within group (order by n_name) as names from nation group by n_regionkey", "select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by n_regionkey")
+both("group_array_json", "select n_regionkey, to_json(sort_array(collect_list(n_nationkey))) as j from nation group by n_regionkey", "select n_regionkey, cast(to_json(list_sort(list(n_nationkey))) as varchar) as j from nation group by n_regionkey")
+both("bare_column_max", "select o_orderpriority, max(o_totalprice) as top, max_by(o_orderkey, struct(o_totalprice, o_orderkey)) as k from orders group by o_orderpriority", "select o_orderpriority, max(o_totalprice) as top, arg_max(o_orderkey, row(o_totalprice, o_orderkey)) as k from orders group by o_orderpriority")
+both("scalar_min_max", "select c_custkey, case when c_acctbal is null then null else least(c_acctbal, 100d) end as lo, greatest(c_acctbal, 100d) as hi from customer", "select c_custkey, least(c_acctbal, 100) as lo, greatest(c_acctbal, 100) as hi from customer")
+both("percentile", "select event_type, percentile(value, 0.5) as p50, percentile(value, 0.9) as p90 from events group by event_type", "select event_type, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.9) as p90 from events group by event_type")
+both("stddev", "select event_type, round(stddev_pop(value), 6) as p, round(stddev_samp(value), 6) as s from events group by event_type")
+both("grouping_sets", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())")
+both("cube_rollup", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by cube (o_orderstatus, o_orderpriority) union all select o_orderstatus, o_orderpriority, -count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)")
+
+# --- windows
+both("window_ranks", "select o_orderkey, cast(row_number() over w as bigint) as rn, cast(rank() over w as bigint) as rk, cast(dense_rank() over w as bigint) as dr, cast(ntile(4) over w as bigint) as nt, round(percent_rank() over w, 9) as pr, round(cume_dist() over w, 9) as cd from orders where o_custkey < 200 window w as (partition by o_orderstatus order by o_totalprice, o_orderkey)")
+both("window_lag", "select o_orderkey, lag(o_totalprice) over w as prev, lead(o_totalprice, 2) over w as next2, first_value(o_orderkey) over w as f, last_value(o_orderkey) over w as l, nth_value(o_orderkey, 2) over w as n2 from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
+both("window_frame", "select l_orderkey, l_linenumber, l_partkey, round(sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows between 1 preceding and 1 following), 4) as s, round(avg(l_quantity) over (partition by l_orderkey), 6) as a from lineitem")
+both("window_range", "select o_orderkey, count(*) over (partition by o_custkey order by o_totalprice range between 50000 preceding and current row) as n from orders")
+both("window_groups", "select n_nationkey, cast(sum(n_nationkey) over (order by g range between 1 preceding and current row) as bigint) as s from (select n_nationkey, dense_rank() over (order by n_regionkey) as g from nation) x", "select n_nationkey, cast(sum(n_nationkey) over (order by n_regionkey groups between 1 preceding and current row) as bigint) as s from nation")
+both("window_exclude", "select n_nationkey, cast(sum(n_nationkey) over (partition by n_regionkey) - n_nationkey as bigint) as s from nation", "select n_nationkey, cast(coalesce(sum(n_nationkey) over (partition by n_regionkey rows between unbounded preceding and unbounded following exclude current row), 0) as bigint) as s from nation")
+
+# --- order, sets, subqueries
+both("order_limit", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 5 offset 2")
+both("order_nulls", "select o_orderkey, nullif(o_orderstatus, 'F') as st from orders order by st nulls first, o_orderkey limit 20")
+both("union_all", "select n_name as name from nation union all select r_name as name from region union all select n_name as name from nation")
+both("union_distinct", "select n_regionkey as k from nation union select r_regionkey as k from region")
+both("except_rows", "select r_regionkey as k from region except select n_regionkey as k from nation where n_nationkey < 5")
+both("intersect_rows", "select s_nationkey as k from supplier intersect select n_nationkey as k from nation where n_regionkey < 3")
+both("from_subq", "select k, count(*) as n from (select n_regionkey as k from nation union all select r_regionkey as k from region) u group by k")
+both("scalar_subq", "select o_orderkey from orders where o_totalprice > (select avg(o_totalprice) * 2 from orders)")
+both("corr_scalar", "select c_custkey, (select max(o_totalprice) from orders o where o.o_custkey = c.c_custkey) as top from customer c")
+both("cte", "with a as (select n_regionkey as k, count(*) as n from nation group by n_regionkey), b as (select max(n) as m from a) select a.k, a.n from a join b on a.n = b.m")
+both("rec_cte", "with recursive t(n) as (select 1 union all select n + 1 from t where n < 50) select n from t")
+both("values_rows", "select a, b from (values (1, 'x'), (2, 'y'), (3, null)) as t(a, b)")
+
+# --- functions
+both("md5", "select n_nationkey, md5(n_name) as h from nation")
+both("sha1", "select n_nationkey, sha1(n_name) as h from nation")
+both("sha256", "select n_nationkey, sha2(n_name, 256) as h from nation", "select n_nationkey, sha256(n_name) as h from nation")
+both("regexp", "select n_name, n_name rlike '[0-4]$' as hit from nation", "select n_name, regexp_matches(n_name, '[0-4]$') as hit from nation")
+both("regexp_extract", r"select n_name, nullif(regexp_extract(n_name, '_(\\d+)', 1), '') as g from nation", r"select n_name, nullif(regexp_extract(n_name, '_(\d+)', 1), '') as g from nation")
+both("math", "select c_custkey, round(sqrt(abs(c_acctbal)), 9) as s, round(power(c_acctbal, 2), 4) as p, abs(c_acctbal) as a, cast(round(c_acctbal, 0) as bigint) as r, cast(sign(c_acctbal) as bigint) as g, round(ln(abs(c_acctbal) + 1), 9) as l, round(exp(c_custkey % 5), 6) as e, cast(ceil(c_acctbal) as bigint) as c, cast(floor(c_acctbal) as bigint) as f, round(degrees(1.0d), 9) as d, round(sin(c_custkey), 6) as si from customer", "select c_custkey, round(sqrt(abs(c_acctbal)), 9) as s, round(power(c_acctbal, 2), 4) as p, abs(c_acctbal) as a, cast(round(c_acctbal, 0) as bigint) as r, cast(sign(c_acctbal) as bigint) as g, round(ln(abs(c_acctbal) + 1), 9) as l, round(exp(c_custkey % 5), 6) as e, cast(ceil(c_acctbal) as bigint) as c, cast(floor(c_acctbal) as bigint) as f, round(degrees(1.0), 9) as d, round(sin(c_custkey), 6) as si from customer")
+both("string", "select p_partkey, upper(p_name) as u, lower(p_brand) as l, cast(length(p_name) as bigint) as n, substr(p_name, 2, 4) as s, cast(instr(p_name, 'a') as bigint) as i, replace(p_name, 'a', '#') as r, trim('  ' || p_brand || ' ') as t, ltrim('  x') as lt, rtrim('x  ') as rt, substr(p_name, -3) as tail from part")
+both("ascii_char_hex", "select n_nationkey, cast(ascii(n_name) as bigint) as a, chr(65 + n_nationkey) as c, hex(n_name) as h from nation", "select n_nationkey, cast(ascii(n_name) as bigint) as a, chr(65 + n_nationkey) as c, hex(n_name) as h from nation")
+both("printf", "select c_custkey, format_string('%05d|%.2f|%s', c_custkey, c_acctbal, c_mktsegment) as s from customer", "select c_custkey, printf('%05d|%.2f|%s', c_custkey, c_acctbal, c_mktsegment) as s from customer")
+both("json", "select event_id, get_json_object(props, '$.k') as k from events", "select event_id, json_extract_string(props, '$.k') as k from events")
+both("json_build", "select n_nationkey, to_json(named_struct('k', n_nationkey, 'n', n_name)) as j from nation", "select n_nationkey, cast(json_object('k', n_nationkey, 'n', n_name) as varchar) as j from nation")
+both("strftime_group", "select date_format(ts, 'HH:mm') as hm, count(*) as n from events group by 1", "select strftime(ts, '%H:%M') as hm, count(*) as n from events group by 1")
+both("date_parts", "select o_orderkey, date_format(o_orderdate, 'yyyy-MM-dd') as d, cast(year(o_orderdate) as bigint) as y, cast(dayofyear(o_orderdate) as bigint) as j, date_format(date_add(cast(o_orderdate as date), 30), 'yyyy-MM-dd') as later, date_format(date_trunc('month', o_orderdate), 'yyyy-MM-dd') as m from orders", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as d, year(o_orderdate) as y, dayofyear(o_orderdate) as j, strftime(cast(o_orderdate as date) + 30, '%Y-%m-%d') as later, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') as m from orders")
+both("generate_series", "select id as i from range(1, 101)", "select range as i from range(1, 101)")
