@@ -46,7 +46,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).sql(re.sub(r"\bfrom events\b", f"from {path}", FLAGSHIP))
 
 
-QUERIES["sum_kb_group"] = functools.partial(_run, FLAGSHIP)
+QUERIES["sum_kb_group"] = flagship
 ORACLE_SQL["sum_kb_group"] = FLAGSHIP
 
 # --- projection, filters, expressions
