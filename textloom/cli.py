@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import configparser
 import locale
+import logging
 import os
 import sys
 
@@ -217,6 +218,7 @@ def main(argv: list[str] | None = None, spark=None, stdin=None, stdout=None, std
         from textloom.operators import render
         from textloom.session import session
 
+        logging.getLogger("SQLQueryContextLogger").disabled = True  # failures are told below, once
         made = spark or session(o.master or "local[*]", **{"spark.log.level": "ERROR", "spark.ui.enabled": "false"})
         with Engine(made, read, {"-": stdin or sys.stdin.buffer}, compat=not o.no_compat) as engine:
             for text in texts:

@@ -157,7 +157,7 @@ def _moment(value: str, modifiers: list[str]) -> str:
     elif "auto" in mods[:1]:
         out, mods = f"timestamp_seconds(cast(({v}) as double))", mods[1:]
     else:
-        out = f"coalesce(try_cast(({v}) as timestamp), timestamp_seconds(try_cast(({v}) as double) * 86400.0 - 210866760000.0))"
+        out = f"coalesce(try_cast(({v}) as timestamp), timestamp_seconds(try_cast(({v}) as double) * 86400D - 210866760000D))"
     for m in mods:
         if k := re.fullmatch(r"start of (day|month|year)", m):
             out = f"date_trunc('{k[1]}', {out})"
@@ -166,10 +166,10 @@ def _moment(value: str, modifiers: list[str]) -> str:
                 out = f"({out} + make_ym_interval({int(float(k[1])) if k[2] == 'year' else 0}, {int(float(k[1])) if k[2] == 'month' else 0}))"
             else:
                 seconds = float(k[1]) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[k[2]]
-                out = f"timestamp_seconds(cast(unix_micros({out}) as double) / 1000000 + ({seconds}))"
+                out = f"timestamp_seconds(cast(unix_micros({out}) as double) / 1000000D + ({seconds}))"
         elif k := re.fullmatch(r"([+-])(\d\d):(\d\d)(?::(\d\d))?", m):
             seconds = (int(k[2]) * 3600 + int(k[3]) * 60 + int(k[4] or 0)) * (-1 if k[1] == "-" else 1)
-            out = f"timestamp_seconds(cast(unix_micros({out}) as double) / 1000000 + ({seconds}))"
+            out = f"timestamp_seconds(cast(unix_micros({out}) as double) / 1000000D + ({seconds}))"
         elif k := re.fullmatch(r"weekday ([0-6])", m):
             out = f"({out} + make_dt_interval(cast(pmod({k[1]} - (dayofweek({out}) - 1), 7) as int)))"
         elif m in ("utc", "localtime", "subsec", "subsecond"):
@@ -202,7 +202,7 @@ def _strftime(a: list[str]) -> str | None:
             if pattern:
                 parts.append(f"date_format({t}, '{pattern}')")
                 pattern = ""
-            parts.append({"s": f"cast(unix_seconds({t}) as string)", "w": f"cast(dayofweek({t}) - 1 as string)", "J": f"cast(unix_micros({t}) / 86400000000.0 + 2440587.5 as string)", "W": f"lpad(cast(cast((dayofyear({t}) + 6 - pmod(dayofweek({t}) + 5, 7)) / 7 as int) as string), 2, '0')", "u": f"cast(pmod(dayofweek({t}) + 5, 7) + 1 as string)"}[code])
+            parts.append({"s": f"cast(unix_seconds({t}) as string)", "w": f"cast(dayofweek({t}) - 1 as string)", "J": f"cast(unix_micros({t}) / 86400000000D + 2440587.5D as string)", "W": f"lpad(cast(cast((dayofyear({t}) + 6 - pmod(dayofweek({t}) + 5, 7)) / 7 as int) as string), 2, '0')", "u": f"cast(pmod(dayofweek({t}) + 5, 7) + 1 as string)"}[code])
             at += 2
         elif c == "%" and code in _STRFTIME:
             pattern += _STRFTIME[code]
@@ -290,7 +290,7 @@ COMPAT: dict[str, Callable[[list[str]], str | None]] = {
     "time": _formatted("HH:mm:ss"),
     "datetime": _formatted("yyyy-MM-dd HH:mm:ss"),
     "strftime": _strftime,
-    "julianday": lambda a: f"(unix_micros({_moment(a[0], a[1:])}) / 86400000000.0 + 2440587.5)",
+    "julianday": lambda a: f"(unix_micros({_moment(a[0], a[1:])}) / 86400000000D + 2440587.5D)",
     "unixepoch": lambda a: f"unix_seconds({_moment(a[0], a[1:])})",
     "json": _one("json", lambda x: f"to_json(parse_json({x}))"),
     "json_extract": _json_extract,

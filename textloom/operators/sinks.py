@@ -44,11 +44,11 @@ def write_sqlite(con: sqlite3.Connection, name: str, df: DataFrame) -> None:
     con.executemany(insert, chunk)
 
 
-def write_delimited(df: DataFrame, folder: str, options: WriteOptions) -> None:
+def write_delimited(df: DataFrame, folder: str, options: WriteOptions, compression: str = "none") -> None:
     """Delimited part files, written by the executors; quotes are doubled and nulls empty, as rendered rows are."""
     from textloom.operators.render import quoted_column
 
     d = options.delimiter
     cells = [quoted_column(F.col(f"`{c.replace('`', '``')}`"), t, options) for c, t in df.dtypes]
     lines = df.select(F.concat_ws(d, *cells).alias("value"))
-    lines.write.mode("error").text(folder)
+    lines.write.mode("error").option("compression", compression).text(folder)
