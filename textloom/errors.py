@@ -28,12 +28,14 @@ class EngineError(Exception):
 
 def translated(error: Exception) -> EngineError:
     """Any exception as an EngineError: one raised on an executor by its tag, an encoding failure or Spark's own by kind."""
+    from pyspark.errors import AnalysisException, PySparkException
+
     if isinstance(error, EngineError):
         return error
+    if isinstance(error, AnalysisException):  # its text may quote a plan, tags and all
+        return EngineError(SQL, str(error).splitlines()[0])
     if m := _TAG.search(str(error)):
         return EngineError(int(m[1]), m[2].strip())
-    from pyspark.errors import PySparkException
-
     if isinstance(error, PySparkException):
         return EngineError(SQL, str(error).splitlines()[0])
     return EngineError(OTHER, f"{type(error).__name__}: {error}")

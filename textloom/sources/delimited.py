@@ -129,6 +129,11 @@ def _typed(value: Column, kind: str) -> Column:
 
 
 def _by_lines(spark: SparkSession, paths: list[str], options: ReadOptions, schema: Schema) -> DataFrame:
+    return split_lines(_lines(spark, paths, options), options, schema)
+
+
+def split_lines(lines: DataFrame, options: ReadOptions, schema: Schema) -> DataFrame:
+    """A frame of one column `line`, each a record, as columns of the schema; batch or streaming."""
     n, d = len(schema.names), options.delimiter
     line = F.col("line")
     escaped = "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in d)
@@ -144,7 +149,7 @@ def _by_lines(spark: SparkSession, paths: list[str], options: ReadOptions, schem
         parts = F.when(F.size(parts) == n, parts).otherwise(F.raise_error(F.concat(F.lit(f"TEXTLOOM[{errors.COLUMN_COUNT}] Strict mode: expected {n} columns and found "), F.size(parts).cast("string"), F.lit(" in row: "), line)))
     guard = F.exists(parts, lambda x: F.length(x) > options.max_field)
     parts = F.when(F.length(line) <= options.max_field, parts).when(guard, F.raise_error(F.lit(f"TEXTLOOM[{errors.FIELD_SIZE}] Column length is larger than the maximum of {options.max_field}"))).otherwise(parts)
-    rows = _lines(spark, paths, options).select(parts.alias("p"))
+    rows = lines.select(parts.alias("p"))
     p = F.col("p")
     last = F.when(F.size(p) > n, F.array_join(F.slice(p, n, F.greatest(F.lit(1), F.size(p) - (n - 1))), d)).otherwise(F.get(p, F.lit(n - 1)))
     values = [F.get(p, F.lit(i)) for i in range(n - 1)] + [last]
