@@ -67,8 +67,6 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         keep[0] = True
         keep[1:] |= solid[:-1]
         keep[begin[:-1]] = True
-        before = begin[1:-1]
-        keep[before - 1] &= solid[before - 1]  # a space at the end of a text says nothing more
     out = np.where(solid, raw, np.uint32(32))[keep]
     return out, np.append(0, np.cumsum(keep))[begin]
 
