@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import documents
+from textloom.llm.oracles import NEAR_DEDUP, SUBSTRINGS
 
 
 def _tokenizer(name: str) -> str:
@@ -108,4 +109,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL, where SQL can express an operator.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_near_dedup": NEAR_DEDUP, "op8_seed_extend": SUBSTRINGS}
