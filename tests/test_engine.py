@@ -138,6 +138,8 @@ def test_cache(spark, numbers):
     with open(numbers, "a") as f:
         f.write("101 x\n")
     assert code(Engine(spark, read), f"select * from {numbers}") == errors.CACHE_DIFFERS
+    assert Engine(spark, write.merged(overwrite_cache=True)).load(numbers).frame.count() == 101
+    assert rows(Engine(spark, read), f"select max(c1) from {numbers}") == [(101,)]
     assert code(Engine(spark), f"select * from {folder}:::nope") == errors.CACHE_TABLE_MISSING
     os.rename(numbers, numbers + ".gone")
     assert Engine(spark).load(folder).source_type == "cache-file"

@@ -21,7 +21,7 @@ DEFAULTS: dict[str, object] = {
     "as_text": False, "input_quoting_mode": "minimal", "max_column_length_limit": 131072, "universal_newlines": False, "caching_mode": "none", "full_scan_inference": False,
     "output_delimiter": None, "tab_delimited_output": False, "pipe_delimited_output": False, "output_header": False, "beautify": False, "formatting": None, "output_encoding": None,
     "output_quoting_mode": "minimal", "query_filename": None, "query_encoding": None, "save_db_to_disk": None, "list_user_functions": False, "verbose": False, "no_compat": False,
-    "max_attached_databases": 10, "master": None,
+    "overwrite_cache": False, "max_attached_databases": 10, "master": None,
 }
 
 
@@ -84,6 +84,7 @@ def parser(defaults: dict) -> argparse.ArgumentParser:
     flag("-L", "--list-user-functions", dest="list_user_functions", text="list the dialect's functions")
     value("-S", "--save-db-to-disk", dest="save_db_to_disk", text="write the query's tables to a SQLite file (or, with a trailing slash, to Parquet) instead of running it")
     value("-C", "--caching-mode", dest="caching_mode", text="none, read or readwrite")
+    flag("--overwrite-cache", dest="overwrite_cache", text="with -C readwrite: write the cache anew")
     flag("-H", "--skip-header", dest="header", text="the first line has the column names")
     value("-d", "--delimiter", dest="delimiter", text="input delimiter (default: space)")
     flag("-t", "--tab-delimited", dest="tab_delimited", text="input delimited by tabs")
@@ -133,7 +134,7 @@ def read_options(o: argparse.Namespace, warn) -> ReadOptions:  # noqa: ANN001
     return ReadOptions(
         delimiter=" " if delimiter is None else delimiter, header=o.header, keep_leading_space=o.keep_leading_whitespace, quoting=o.input_quoting_mode,
         double_quote_escape=not o.disable_double_double_quoting, backslash_escape=not o.disable_escaped_double_quoting, mode=o.mode, columns=o.column_count,
-        encoding=o.encoding, gzipped=o.gzipped, as_text=o.as_text, max_field=longest, full_scan_inference=o.full_scan_inference, cache=o.caching_mode,
+        encoding=o.encoding, gzipped=o.gzipped, as_text=o.as_text, max_field=longest, full_scan_inference=o.full_scan_inference, cache=o.caching_mode, overwrite_cache=o.overwrite_cache,
     ).checked()
 
 

@@ -184,7 +184,8 @@ class Engine:
         single = len(paths) == 1 and not any(c in name for c in "*?[") and not files.is_remote(paths[0])
         folder = paths[0] + cache.SUFFIX if single else ""
         there = bool(folder) and os.path.isdir(folder)
-        if there and options.cache in ("read", "readwrite") and not sample_only:
+        anew = options.overwrite_cache and options.cache == "readwrite"
+        if there and options.cache in ("read", "readwrite") and not sample_only and not anew:
             cache.validate(folder, cache.signature(spark, paths[0], options, schema))
             return self._view(name, cache.read(spark, folder), source_type="cache-file-with-original", sources=[folder, *paths], warnings=schema.warnings)
         if sample_only:

@@ -29,6 +29,7 @@ class ReadOptions:
     sample_rows: int = 100
     full_scan_inference: bool = False
     cache: str = "none"  # none, read, readwrite
+    overwrite_cache: bool = False
 
     def checked(self) -> ReadOptions:
         if len(self.delimiter) != 1:

@@ -25,7 +25,7 @@ SIGNATURE = "_signature.json"
 def signature(spark: SparkSession, path: str, options: ReadOptions, schema: Schema) -> dict:
     """What must be equal for a cache to stand for the file: dialect, sampled rows, size, time."""
     size, changed = files.stat(spark, path)
-    dialect = {k: v for k, v in asdict(options).items() if k != "cache"}
+    dialect = {k: v for k, v in asdict(options).items() if k not in ("cache", "overwrite_cache")}
     rows = hashlib.sha256(json.dumps(schema.sample, ensure_ascii=False).encode()).hexdigest()
     return {"version": VERSION, "options": dialect, "names": schema.names, "kinds": schema.kinds, "size": size, "mtime_ns": changed, "sample": rows}
 

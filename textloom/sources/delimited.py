@@ -110,7 +110,12 @@ def is_plain(spark: SparkSession, paths: list[str], options: ReadOptions) -> boo
         odd = odd | F.contains(line, F.lit("\0")) | F.contains(line, F.lit("﻿")) | F.contains(line, F.lit("�"))
         if options.header:
             odd = odd | (line == "")
-        _plain[key] = not spark.read.text(paths).where(odd).take(1)
+        # most texts with quotes show one at once; the rest take one pass, without the small first jobs of take()
+        start = files.head(spark, paths[0], options.gzipped, 1 << 16)
+        if (b'"' in start and options.quoting != "none") or (b"\\" in start and options.backslash_escape):
+            _plain[key] = False
+        else:
+            _plain[key] = not spark.read.text(paths).agg(F.coalesce(F.bool_or(odd), F.lit(False))).first()[0]
     return _plain[key]
 
 
