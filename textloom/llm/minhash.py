@@ -217,17 +217,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = None
     if rows_of(mates):
         degree = mates.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("degree"))
-        centres = mates.join(degree, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("centre"))
+        hubs = mates.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("hub"))
+        centres = hubs.select("bucket", (-F.col("hub.minus")).alias("centre"), F.col("hub.degree").alias("degree"))
         starred = mates.join(centres, "bucket").where("rep <> centre")
-        stars = table(starred.groupBy("centre", F.col("rep").alias("member")).agg(F.lit(1)).select("centre", "member"), "stars")
-        many = stars.groupBy("centre").agg(F.count("*").alias("n"))
-        salted = stars.join(many, "centre").select("centre", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / STRETCH)).cast("int").alias("salt"))
+        # a centre meets a member in up to BANDS buckets, so its degree bounds its star; stretches are dealt out before any join on it
+        salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("degree") * 4 / (BANDS * STRETCH))).cast("int")
+        salted = table(starred.select("centre", F.col("rep").alias("member"), salt.alias("salt")).distinct(), "stars")
         wanted = degree.select("rep")
         candidates = table(two(docs, id_col, text_col).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "rep"), "candidates")
         release(spark)
         first = table(_stars(salted, candidates, words, percent), "links")
         labels = components(first) if rows_of(first) else first.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        labelled = mates.join(centres, "bucket").where("rep <> centre").select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+        labelled = starred.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
         per_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("k"))
         open_ = per_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("usual"), (F.sum("k") - F.max("k")).alias("n_rare"), F.sum("k").alias("n_all")).where("labels > 1").select("bucket", "usual", "n_rare", "n_all")
         unsettled = table(labelled.join(open_, "bucket"), "unsettled")
