@@ -20,7 +20,7 @@ def _with_text(docs: DataFrame, text: DataFrame) -> DataFrame:
     """docs with the texts of (doc_id, text) in place of their own, and n_chars following."""
     new = text.select(F.col("doc_id").alias("__id"), F.col("text").alias("__new"))
     both = docs.join(new, docs["doc_id"].eqNullSafe(new["__id"]), "left")
-    return _counted(both.withColumn("text", F.coalesce("__new", "text")).select(*docs.columns))
+    return _counted(both.select(*[F.coalesce(new["__new"], docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns]))
 
 
 def _counted(docs: DataFrame) -> DataFrame:

@@ -88,5 +88,13 @@ def slices(batches: Iterator[pa.RecordBatch], size: int, column: str = "text") -
             at = to
 
 
+def free_name(taken: list[str], wish: str) -> str:
+    """A column name that isn't taken, whatever the case."""
+    low = {x.lower() for x in taken}
+    while wish.lower() in low:
+        wish = f"_{wish}"
+    return wish
+
+
 def rows_of(df: DataFrame) -> bool:
     return len(df.take(1)) > 0

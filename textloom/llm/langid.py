@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import ship, slices
+from textloom.llm.common import free_name, ship, slices
 from textloom.llm.words import mix
 
 ORDER = 5
@@ -275,10 +275,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     """The columns `keep` of docs, with lang_pred, score, cross_entropy and rejected."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS n-grams of each order
-    rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text_col], F.lit("")).alias("__text"))
+    own = free_name(keep, "text")
+    rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text_col], F.lit("")).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, PART_BYTES, "__text"):
+        for part in slices(batches, PART_BYTES, own):
             lang, score, h, rejected = held.value.predict(part.column(part.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang), pa.array(score, pa.float64()), pa.array(h, pa.float64()), pa.array(rejected)], [*part.schema.names[:-1], "lang_pred", "score", "cross_entropy", "rejected"])
 

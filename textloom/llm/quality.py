@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.chunking import digests
-from textloom.llm.common import ship, slices, text_bytes
+from textloom.llm.common import free_name, ship, slices, text_bytes
 from textloom.llm.words import LOWER, Words
 
 BITS = 20
@@ -176,10 +176,11 @@ def score(docs: DataFrame, model: Ordinal | None, keep: list[str], text_col: str
     if model is None:
         return docs.select(*[docs[c] for c in keep], F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_top"))
     held = spark.sparkContext.broadcast(model)  # 2**BITS numbers, whatever the corpus
-    rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text_col], F.lit("")).alias("__text"))
+    own = free_name(keep, "text")
+    rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text_col], F.lit("")).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, PART_BYTES, "__text"):
+        for part in slices(batches, PART_BYTES, own):
             tails = held.value.tails(features(*text_bytes(part.column(part.num_columns - 1))))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(tails.sum(1)), pa.array(tails[:, -1])], [*part.schema.names[:-1], "expected_grade", "tail_top"])
 
@@ -194,5 +195,13 @@ def ratings_of(labels: DataFrame) -> DataFrame:
 
 def select(docs: DataFrame, model: Ordinal | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose probability of the top grade is at least `least`."""
-    scored = score(docs, model, docs.columns, text_col)
-    return scored.where(F.coalesce(F.col("tail_top") >= least, F.lit(True))).select(*docs.columns)
+    if model is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, PART_BYTES, text_col):
+            yield part.filter(pa.array(held.value.tails(features(*text_bytes(part.column(at))))[:, -1] >= least))
+
+    return docs.mapInArrow(run, docs.schema)
