@@ -10,18 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, table
 
 
 def _round(edges: DataFrame, large: bool) -> DataFrame:
     """large: neighbours above a node are linked to the least around it; small: those up to it, itself included."""
+    # the minima are written out, so that both sides of the join come straight from a shuffle and a hub's side can be split
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
         moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         # edges run from the higher node a to the lower b
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        least = table(edges.groupBy("a").agg(F.min("b").alias("m")), "minima")
         moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return moved.where("a > b").distinct()
 
