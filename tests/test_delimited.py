@@ -179,6 +179,19 @@ def test_records_are_those_of_csv(rows, delimiter):
     assert all(len(fitted(r, width, delimiter)) == width for r in got)
 
 
+def test_both_ways_agree_on_misfits(spark, tmp_path):
+    late = ["1.5", "x", "", " 7 ", "+8", "1e3", "99999999999999999999", "-3", "1_0", "nan"]
+    path = tmp_path / "m.txt"
+    path.write_text("".join(f"{i},{i}.5,t\n" for i in range(120)) + "".join(f"{v},{v},{v}\n" for v in late))
+    options = ReadOptions(delimiter=",")
+    schema = delimited.schema_of(spark, [str(path)], options)
+    assert schema.kinds == ["int", "real", "text"]
+    a = [tuple(r) for r in delimited._by_lines(spark, [str(path)], options, schema).collect()]
+    b = [tuple(r) for r in delimited._by_records(spark, [str(path)], options, schema).collect()]
+    assert a == b
+    assert [r[0] for r in a[120:]] == [None, None, None, 7, 8, None, None, -3, None, None]
+
+
 PLAIN = st.text(alphabet="ab1 .-", max_size=6)
 
 

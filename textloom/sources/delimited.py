@@ -129,8 +129,10 @@ def _lines(spark: SparkSession, paths: list[str], options: ReadOptions) -> DataF
 def _typed(value: Column, kind: str) -> Column:
     if kind == "text":
         return value
-    pattern = r"^\s*[+-]?[0-9]+\s*$" if kind == "int" else r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-    return F.when(value.rlike(pattern), F.trim(value).try_cast(SPARK_TYPES[kind]))
+    if kind == "int":
+        return value.try_cast("bigint")  # only digits with a sign, blanks around them, within 64 bits
+    pattern = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+    return F.when(value.rlike(pattern), F.trim(value).try_cast("double"))
 
 
 def _by_lines(spark: SparkSession, paths: list[str], options: ReadOptions, schema: Schema) -> DataFrame:
@@ -141,23 +143,26 @@ def split_lines(lines: DataFrame, options: ReadOptions, schema: Schema) -> DataF
     """A frame of one column `line`, each a record, as columns of the schema; batch or streaming."""
     n, d = len(schema.names), options.delimiter
     line = F.col("line")
-    escaped = "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in d)
+    pattern = "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in d)
+    clean = (lambda x: x) if options.keep_leading_space or d == " " else F.ltrim
     if d == " " and not options.keep_leading_space:
-        parts = F.split(F.regexp_replace(line, "^ +", ""), " +", -1)
-    else:
-        parts = F.split(line, escaped, -1)
-    # the JVM's split of an empty line gives one empty field; csv gives none
-    parts = F.when(line == "", F.array().cast("array<string>")).otherwise(parts)
-    if d != " " and not options.keep_leading_space:
-        parts = F.transform(parts, lambda x: F.ltrim(x))
+        pattern = " +"
+
+    def cut(x: Column) -> Column:
+        return F.split(F.regexp_replace(x, "^ +", "") if pattern == " +" else x, pattern, -1)
+
+    # only a line longer than a field may be can hold a field that is too long
+    large = (F.length(line) > options.max_field) & F.exists(cut(line), lambda x: F.length(x) > options.max_field)
+    line = F.when(large, F.raise_error(F.lit(f"TEXTLOOM[{errors.FIELD_SIZE}] Column length is larger than the maximum of {options.max_field}"))).otherwise(line)
+    parts = cut(F.nullif(line, F.lit("")))  # a blank line has no fields at all
     if options.mode == "strict":
-        parts = F.when(F.size(parts) == n, parts).otherwise(F.raise_error(F.concat(F.lit(f"TEXTLOOM[{errors.COLUMN_COUNT}] Strict mode: expected {n} columns and found "), F.size(parts).cast("string"), F.lit(" in row: "), line)))
-    guard = F.exists(parts, lambda x: F.length(x) > options.max_field)
-    parts = F.when(F.length(line) <= options.max_field, parts).when(guard, F.raise_error(F.lit(f"TEXTLOOM[{errors.FIELD_SIZE}] Column length is larger than the maximum of {options.max_field}"))).otherwise(parts)
+        found = F.when(line == "", 0).otherwise(F.size(cut(line)))
+        parts = F.when(found == n, parts).otherwise(F.raise_error(F.concat(F.lit(f"TEXTLOOM[{errors.COLUMN_COUNT}] Strict mode: expected {n} columns and found "), found.cast("string"), F.lit(" in row: "), line)))
     rows = lines.select(parts.alias("p"))
     p = F.col("p")
-    last = F.when(F.size(p) > n, F.array_join(F.slice(p, n, F.greatest(F.lit(1), F.size(p) - (n - 1))), d)).otherwise(F.get(p, F.lit(n - 1)))
-    values = [F.get(p, F.lit(i)) for i in range(n - 1)] + [last]
+    # what a long row has too much is joined into the last column
+    rest = F.array_join(F.transform(F.slice(p, n, F.greatest(F.lit(1), F.size(p) - (n - 1))), clean), d)
+    values = [clean(F.get(p, F.lit(i))) for i in range(n - 1)] + [F.when(F.size(p) > n, rest).otherwise(clean(F.get(p, F.lit(n - 1))))]
     return rows.select(*[_typed(v, k).alias(name) for v, k, name in zip(values, schema.kinds, schema.names, strict=True)])
 
 
