@@ -42,6 +42,8 @@ ORDER = 5
 MAX_ROWS, CALIBRATE = 2_000, 5
 #: Distinct 5-grams of all languages that the driver takes at most, the most frequent first.
 MAX_GRAMS = 3_000_000
+#: And so many n-grams times languages at most, as each n-gram has a probability for every language: the model's size is bounded.
+MAX_CELLS = 24_000_000
 #: The share of calibration texts that may be rejected.
 REJECT = 0.001
 PART_BYTES = 2 << 20
@@ -241,7 +243,7 @@ def fit(train: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text
                 gram = [wide[k].tobytes() for k in range(len(wide))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), i, np.int32)), pa.array(gram, pa.binary()), pa.array(times.astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = picked.mapInArrow(count, "lang int, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toArrow()
+    counted = picked.mapInArrow(count, "lang int, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(min(MAX_GRAMS, MAX_CELLS // len(names))).toArrow()
     if not counted.num_rows:
         return Model([])
     grams = np.frombuffer(b"".join(counted["gram"].to_pylist()), "<u4").reshape(-1, ORDER).astype(np.int64)
@@ -274,7 +276,7 @@ def calibrated(model: Model, rows: DataFrame, index: dict[str, int]) -> Model:
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs, with lang_pred, score, cross_entropy and rejected."""
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS n-grams of each order
+    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_CELLS numbers of each order
     own = free_name(keep, "text")
     rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text_col], F.lit("")).alias(own))
 
