@@ -31,7 +31,7 @@ from textloom.llm.common import cut, ship, slices, two
 
 PART_BYTES = 4 << 20
 #: Fillings tried at a node, and nodes visited before the incumbent is taken.
-WIDTH, NODES = 4, 20_000
+WIDTH, NODES = 4, 8_000
 
 
 def least_bins(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -89,6 +89,33 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return sum(a) >= sum(b) and place(0, list(a))
 
 
+def fullest(room: int, counts: np.ndarray) -> tuple[int, ...]:
+    """The filling of `room` that wastes least, of any number of parts, its parts as long as can be.
+
+    Sums that can be reached with the shorter lengths are bits of one integer for each length.
+    """
+    lengths = np.flatnonzero(counts[: room + 1]).tolist()
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for length in lengths:
+        sums, left, step = reach[-1], min(int(counts[length]), room // length), 1
+        while left:
+            took = min(step, left)
+            sums |= (sums << (took * length)) & mask
+            left, step = left - took, 2 * step
+        reach.append(sums)
+    goal, parts = reach[-1].bit_length() - 1, []
+    for k in range(len(lengths) - 1, -1, -1):
+        length = lengths[k]
+        for many in range(min(int(counts[length]), goal // length), -1, -1):
+            if reach[k] >> (goal - many * length) & 1:
+                parts += [length] * many
+                goal -= many * length
+                break
+        if not goal:
+            break
+    return tuple(parts)
+
+
 def completions(room: int, counts: np.ndarray, width: int = WIDTH) -> list[tuple[int, ...]]:
     """Undominated fillings of `room` from the lengths in stock, best fit first; few long parts before many short ones."""
     stock = np.flatnonzero(counts[: room + 1])
@@ -129,6 +156,7 @@ def completions(room: int, counts: np.ndarray, width: int = WIDTH) -> list[tuple
                     parts = tuple(sorted((a, int(low[i]), int(low[at[i]])), reverse=True))
                     if all(counts[x] >= parts.count(x) for x in parts):
                         found.append(parts)
+    found.append(fullest(room, counts))
     found = sorted(dict.fromkeys(found), key=lambda p: (-sum(p), len(p)))
     kept: list[tuple[int, ...]] = []
     for p in found:
