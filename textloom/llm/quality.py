@@ -38,7 +38,7 @@ from textloom.llm.words import LOWER, Words
 BITS = 20
 MAX_ROWS = 12_000
 LEAST_SEEN, LEAST_Z = 5, 3.5
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 LETTER = np.zeros(256, bool)
 LETTER[ord("a") : ord("z") + 1] = LETTER[ord("A") : ord("Z") + 1] = LETTER[128:] = True
