@@ -122,6 +122,17 @@ def test_packing(docs, none):
     assert packing.pack(packing.pieces(none, RANKS, PATTERN, 2, 1024), 1024).count() == 0
 
 
+def test_added_tokens_and_long_blanks_as_the_json_file_has_them(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"  \n{end}   \n z", f"<{end}>", "<|endoftext|", "<|ENDOFTEXT|>", "a" + " " * 2_000_000 + "b"]
+    found = got(packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, PATTERN, 2, 1 << 22))
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for x in texts]
+    assert [(r["doc_id"], r["length"], r["ids_crc32"]) for r in sorted(found, key=lambda r: r["doc_id"])] == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)]
+
+
 @pytest.mark.parametrize("n_shards", [1, 7, 200])
 def test_sharding(docs, none, n_shards):
     found = got(sharding.shard(sharding.document_rows(docs), n_shards, seed=3))
