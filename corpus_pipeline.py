@@ -16,11 +16,12 @@ from textloom.llm import minhash, packing, pii, quality, substrings
 from textloom.llm.common import shared_dir
 
 
-def _with_text(docs: DataFrame, text: DataFrame) -> DataFrame:
-    """docs with the texts of (doc_id, text) in place of their own, and n_chars following."""
-    new = text.select(F.col("doc_id").alias("__id"), F.col("text").alias("__new"))
-    both = docs.join(new, docs["doc_id"].eqNullSafe(new["__id"]), "left")
-    return _counted(both.select(*[F.coalesce(new["__new"], docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns]))
+def _with_text(docs: DataFrame, row: str, text: DataFrame) -> DataFrame:
+    """docs with the texts of (*KEY, text) in place of their own, n_chars following, and without the row numbers."""
+    new = text.select(*[F.col(c).alias(f"__new_{c}") for c in text.columns])
+    same = [a == new[f"__new_{c}"] for a, c in zip(substrings.key_of(docs, row), substrings.KEY, strict=True)]
+    both = docs.join(new, same, "left")
+    return _counted(both.select(*[F.coalesce(new["__new_text"], docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns if c != row]))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -46,7 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 20 words or more that a document before has too."""
-    return _with_text(docs, substrings.without_repeats(docs, length=20))
+    rows, row = substrings.numbered(docs)
+    return _with_text(rows, row, substrings.shortened(rows, row, length=20))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,6 +214,19 @@ def test_repeated_ids_are_one_document(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got(substrings.removals(twice))) == [(1, 0), (1, 0), (2, 40)]
 
 
+def test_rows_without_id_and_unlike_rows_of_an_id_keep_their_own_texts(spark):
+    """Each row without an id is a document; rows of one id are judged together but lose words of their own texts only."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    texts = [(None, f"one {a}"), (None, f"two {a}"), (None, b), (None, "short"), (None, None), (-(1 << 63), f"least {a}"), (3, c), (5, f"x {c}"), (5, f"{d} y {b}"), (5, f"{d} y {b}"), (6, d)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(None, 31, 0, sha(f"one {a}")), (None, 31, 30, sha("two")), (None, 30, 0, sha(b)), (None, 1, 0, sha("short")), (None, 0, 0, sha("")), (-(1 << 63), 31, 30, sha("least")), (3, 30, 0, sha(c)), (5, 31, 30, sha("x")), *[(5, 61, 30, sha(f"{d} y"))] * 2, (6, 30, 30, sha(""))]
+    found = [tuple(r.values()) for r in got(substrings.removals(frame))]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    lost = [("two ", None), ("least ", -(1 << 63)), ("x ", 5), (f"{d} y ", 5), ("", 6)]
+    assert sorted(((r["text"], r["doc_id"]) for r in got(substrings.without_repeats(frame))), key=repr) == sorted(lost, key=repr)
+
+
 def brute_components(table, n, percent):
     sets = {}
     for i, text in table:

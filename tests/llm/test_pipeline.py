@@ -103,3 +103,13 @@ def test_extra_columns_go_through_every_stage(spark, data, tmp_path):
                     named = here.where("doc_id is not null")
                     assert named.count() == named.select("doc_id").distinct().count()
         assert (here.count() > 0) == (name == "odd")
+
+
+def test_texts_without_id_stay_their_own(spark, data):
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [(None, f"one {passage}"), (None, f"two {passage}"), (None, "three"), (4, f"four {passage}"), (5, f"five {passage}"), (5, "other")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in texts], "doc_id long, text string, n_chars long").coalesce(1)
+    found = corpus_pipeline.substring_dedup(spark, docs, data)
+    assert found.columns == docs.columns
+    want = [(None, f"one {passage}"), (None, "two "), (None, "three"), (4, "four "), (5, "five "), (5, "other")]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(((i, t, len(t)) for i, t in want), key=repr)
