@@ -390,3 +390,15 @@ def test_sorted_hashes_find():
     assert (table.find(keys) == np.arange(len(keys))).all()
     assert (table.find(keys + np.uint64(1)) == -1).all()
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_secrets_of_any_length_and_those_around_a_base_span():
+    for token, want in (("eyJ" + "aB3d_" * 200, "[SECRET]"), ("key_aB3xYz4111111111111111QwErTy", "[SECRET][CARD][SECRET]"), ("4111111111111111QwErTyUiOp", "[CARD][SECRET]")):
+        text = f"a {token} b"
+        base = pii.base_spans(text)
+        loose = pii.loose_spans(text, base)
+        model = {pii.pattern(text, s): 1.0 for s in loose}
+        assert pii.redact(text, model) == f"a {want} b"
+        spans = pii.chosen([{"kind": s[0], "start": s[1], "stop": s[2], "pattern": pii.pattern(text, s)} for s in base + loose], model)
+        assert "".join(text[a:b] for _, a, b in spans) == token
+    assert pii.loose_spans("ann_b3_c4_d5_long_name@example.com", pii.base_spans("ann_b3_c4_d5_long_name@example.com")) == []

@@ -44,7 +44,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,200}(?![A-Za-z0-9_/+=-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _MASKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?[\[(](?:at|AT)[\])][\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?[\[(](?:dot|DOT)[\])][\x20]?[A-Za-z0-9-]{1,63}){1,8}")
@@ -101,7 +101,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of the looser kinds that overlap no base span."""
+    """Candidates of the looser kinds that lie in no base span."""
     out = []
     if _DIGIT.search(text):
         for m in _SECRET.finditer(text):
@@ -112,7 +112,19 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         out += [(6, *m.span()) for m in _NATIONAL.finditer(text)]
     if "[" in text or "(" in text:
         out += [(7, *m.span()) for m in _MASKED.finditer(text)]
-    return [x for x in out if not any(a < x[2] and x[1] < b for _, a, b in base)] if base else out
+    return [x for x in out if outside(x, base)] if base else out
+
+
+def outside(span: tuple[int, int, int], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The parts of a span that no base span (these by start) covers."""
+    kind, at, stop = span
+    out = []
+    for _, a, b in base:
+        if at < b and a < stop:
+            if at < a:
+                out.append((kind, at, a))
+            at = b
+    return [*out, (kind, at, stop)] if at < stop else out
 
 
 def votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
@@ -238,8 +250,10 @@ def fit(found: DataFrame) -> dict[int, float]:
 
 
 def chosen(spans: list[dict], model: dict[int, float]) -> list[tuple[int, int, int]]:
-    """Base spans, and the looser ones that the classifier takes, by start, then kind."""
-    return sorted(((s["kind"], s["start"], s["stop"]) for s in spans if s["kind"] < len(BASE) or model.get(s["pattern"], 0) >= 0.5), key=lambda x: (x[1], x[0], x[2]))
+    """Base spans, and the parts outside them of the looser ones that the classifier takes, by start, then kind."""
+    base = [(s["kind"], s["start"], s["stop"]) for s in spans if s["kind"] < len(BASE)]
+    loose = [p for s in spans if s["kind"] >= len(BASE) and model.get(s["pattern"], 0) >= 0.5 for p in outside((s["kind"], s["start"], s["stop"]), base)]
+    return sorted(base + loose, key=lambda x: (x[1], x[0], x[2]))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,7 +281,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(text: str, model: dict[int, float]) -> str:
     """The text with each chosen span, or run of overlapping ones, as the kind of its first in brackets."""
     base = base_spans(text)
-    spans = base + [s for s in loose_spans(text, base) if model.get(pattern(text, s), 0) >= 0.5]
+    spans = base + [p for s in loose_spans(text, base) if model.get(pattern(text, s), 0) >= 0.5 for p in outside(s, base)]
     if not spans:
         return text
     out, at, end = [], 0, 0
