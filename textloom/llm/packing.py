@@ -4,8 +4,9 @@ Documents become pieces of at most `capacity` tokens. How many sequences are
 needed depends only on how often each length occurs, so the pieces' lengths
 are counted (at most `capacity` numbers, however large the table) and the
 driver packs that histogram: the largest remaining length opens a sequence,
-its undominated fillings are enumerated, best fit first, and one is applied as
-many times over as the counts allow. Depth-first branch and bound goes back to
+a few of its undominated fillings are found by heuristics (`completions`; at
+most WIDTH, not all there are), best fit first, and one is applied as many times
+over as the counts allow. Depth-first branch and bound goes back to
 other fillings while the waste so far leaves room to beat the incumbent, which
 is best-fit decreasing at first. The plan is a list of patterns with
 multiplicities; each piece then finds its place from its rank among the pieces
@@ -119,7 +120,7 @@ def fullest(room: int, counts: np.ndarray) -> tuple[int, ...]:
 
 
 def completions(room: int, counts: np.ndarray, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` from the lengths in stock, best fit first; few long parts before many short ones."""
+    """Up to `width` fillings of `room` from the lengths in stock, none dominated by another of them, best fit first; few long parts before many short ones."""
     stock = np.flatnonzero(counts[: room + 1])
     if not len(stock):
         return [()]
