@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ def two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; set to a temporary one only where none is named (tests, local runs)."""
+    """The folder all executors see; a temporary one only where none is named and all runs in this process (tests, local runs)."""
     sc = spark.sparkContext
     to = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if to:
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(to)
         return to
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -50,7 +53,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     to = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    out = spark.read.schema(df.schema).parquet(to)
+    out._textloom_table = to
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of table() results that nothing to come reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._textloom_table)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -2,11 +2,12 @@
 
 Where a uniform random permutation would send the rows of each partition is
 itself random: the counts from partition to shard follow a multivariate
-hypergeometric law. The driver draws that matrix, partition by partition (its
-size is partitions times shards, whatever the rows), each partition permutes
-its rows and deals them out by its line of the matrix, the rows are exchanged,
-and each shard is permuted again by random keys. Shard sizes are exact, at most
-one row apart, and every arrangement is equally likely.
+hypergeometric law. That matrix is drawn by halving the partitions, each half
+with a generator of its own, so each task draws its line alone and only the
+partitions' row counts meet on the driver. Each partition permutes its rows and
+deals them out by its line, the rows are exchanged, and each shard is permuted
+again by random keys. Shard sizes are exact, at most one row apart, and every
+arrangement is equally likely.
 
 Defined cases: a null text has size 16 and the checksum of an empty one; ids
 may repeat or be null, each row is dealt by itself; equal texts are not kept
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import cut, ship
+from textloom.llm.common import cut, free_name, ship
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -51,22 +52,46 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
     return a + int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), "right"))
 
 
+def _split(rng: np.random.Generator, left: np.ndarray, draws: int) -> np.ndarray:
+    """How many of each shard's places `draws` rows get, all arrangements being equally likely."""
+    rest = int(left.sum())
+    if rest < 10**9:
+        return rng.multivariate_hypergeometric(left, draws, method="marginals")
+    out = np.zeros_like(left)
+    for j, n in enumerate(left.tolist()):
+        if not draws:
+            break
+        rest -= n
+        out[j] = got = hypergeometric(rng, n, rest, draws)
+        draws -= got
+    return out
+
+
+def line_of(ends: np.ndarray, shards: np.ndarray, part: int, seed: int) -> np.ndarray:
+    """One line of the communication matrix: how many rows partition `part` sends to each shard.
+
+    ends[i] is the number of rows before partition i. The partitions are halved
+    until one is left, and each half draws its share of the shards' places by a
+    generator of its own, so any task can find its line alone, in
+    log(partitions) * shards draws, and all lines add up to the shards' sizes.
+    """
+    low, high, places = 0, len(ends) - 1, np.asarray(shards, np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        rng = np.random.Generator(np.random.PCG64([seed, 2, low, high]))
+        first = _split(rng, places, int(ends[mid] - ends[low]))
+        if part < mid:
+            high, places = mid, first
+        else:
+            low, places = mid, places - first
+    return places
+
+
 def communication_matrix(rows: list[int], shards: list[int], seed: int) -> np.ndarray:
     """counts[i, j]: how many rows partition i sends to shard j in a uniform random permutation."""
     assert sum(rows) == sum(shards)
-    rng = np.random.Generator(np.random.PCG64(seed))
-    left = list(shards)
-    out = np.zeros((len(rows), len(shards)), np.int64)
-    for i, n in enumerate(rows):
-        rest = sum(left)
-        for j in range(len(shards)):
-            if not n:
-                break
-            got = hypergeometric(rng, left[j], rest - left[j], n)
-            rest -= left[j]
-            out[i, j], n = got, n - got
-            left[j] -= got
-    return out
+    ends = np.cumsum([0, *rows])
+    return np.array([line_of(ends, np.array(shards), i, seed) for i in range(len(rows))], np.int64).reshape(len(rows), len(shards))
 
 
 def shard(rows: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
@@ -74,54 +99,60 @@ def shard(rows: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
     spark = rows.sparkSession
     ship(spark)
     names = rows.columns
-    held = cut(rows)
-    n_parts = held.rdd.getNumPartitions()
-    counted = {r["p"]: r["count"] for r in held.groupBy(F.spark_partition_id().alias("p")).count().collect()}
-    sizes = [counted.get(i, 0) for i in range(n_parts)]
-    total = sum(sizes)
-    matrix = communication_matrix(sizes, [total // n_shards + (j < total % n_shards) for j in range(n_shards)], seed)
-    sent = spark.sparkContext.broadcast(matrix)  # partitions x shards numbers
+    part_col = free_name(names, "__part")
+    # partitions go by the number written beside each row: a task's own number may be another one's
+    held = cut(rows.withColumn(part_col, F.spark_partition_id()))
+    counted = {r[part_col]: r["count"] for r in held.groupBy(part_col).count().collect()}
+    ends = np.cumsum([0, *(counted.get(i, 0) for i in range(max(counted, default=-1) + 1))])
+    total = int(ends[-1])
+    shards = np.array([total // n_shards + (j < total % n_shards) for j in range(n_shards)], np.int64)
+    sent = spark.sparkContext.broadcast(ends)  # a number for each partition
+    n_out = max(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = -(-n_out // n_shards)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        line = sent.value[part]
-        rng = np.random.Generator(np.random.PCG64([seed, 1, part]))
-        to = rng.permutation(np.repeat(np.arange(n_shards, dtype=np.int32), line))
+        to = rng = None
         at = 0
         for b in batches:
+            if to is None:
+                if not b.num_rows:
+                    continue
+                part = b.column(b.num_columns - 1)[0].as_py()
+                rng = np.random.Generator(np.random.PCG64([seed, 1, part]))
+                to = rng.permutation(np.repeat(np.arange(n_shards, dtype=np.int32), line_of(sent.value, shards, part, seed)))
             n = b.num_rows
-            key = rng.integers(-(1 << 63), (1 << 63) - 1, n, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to[at : at + n]), pa.array(key)], [*b.schema.names, "__shard", "__key"])
+            key = rng.integers(0, (1 << 63) - 1, n, np.int64)
+            # random keys fall evenly into equal ranges of keys, so a shard's pieces are about equal without a sample
+            piece = (key >> 32) * pieces >> 31
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(to[at : at + n]), pa.array(piece.astype(np.int32)), pa.array(key)], [*names, "__shard", "__piece", "__key"])
             at += n
 
-    schema = held.schema
-    dealt = held.mapInArrow(deal, T.StructType([*schema.fields, T.StructField("__shard", T.IntegerType()), T.StructField("__key", T.LongType())]))
-    n_out = max(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = cut(dealt.repartitionByRange(n_out, "__shard", "__key").sortWithinPartitions("__shard", "__key"))
-    # a shard is a run of partitions: where each partition's part of it starts
+    fields = held.schema.fields[:-1]
+    whole, number_ = T.IntegerType(), T.LongType()
+    dealt = held.mapInArrow(deal, T.StructType([*fields, T.StructField("__shard", whole), T.StructField("__piece", whole), T.StructField("__key", number_)]))
+    order = cut(dealt.repartition(n_out, "__shard", "__piece").sortWithinPartitions("__shard", "__piece", "__key"))
+    # a shard's slots run through its pieces, each of which lies in one partition
     starts, seen = {}, {}
-    for r in sorted(order.groupBy(F.spark_partition_id().alias("p"), "__shard").count().collect()):
-        starts[r["p"], r["__shard"]] = seen.get(r["__shard"], 0)
-        seen[r["__shard"]] = seen.get(r["__shard"], 0) + r["count"]
-    firsts = spark.sparkContext.broadcast(starts)  # at most partitions + shards numbers
+    for s, p, n in sorted(tuple(r) for r in order.groupBy("__shard", "__piece").count().collect()):
+        starts[s, p] = seen.get(s, 0)
+        seen[s] = seen.get(s, 0) + n
+    firsts = spark.sparkContext.broadcast(starts)  # shards * pieces numbers, whatever the rows
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        at = {s: n for (p, s), n in firsts.value.items() if p == part}
+        now, at = None, 0
         for b in batches:
-            to = b.column(b.schema.get_field_index("__shard")).to_numpy()
+            to, piece = (b.column(len(names) + k).to_numpy().astype(np.int64) for k in (0, 1))
+            group = to * pieces + piece
+            edges = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist() if len(group) else []
             slot = np.empty(len(to), np.int64)
-            for s in np.unique(to).tolist():
-                own = np.flatnonzero(to == s)
-                slot[own] = at[s] + np.arange(len(own))
-                at[s] += len(own)
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(to), pa.array(slot)], [*names, "shard", "slot"])
-
-    return order.mapInArrow(number, T.StructType([*schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
+            for a, z in zip(edges, [*edges[1:], len(to)], strict=True):
+                if group[a] != now:
+                    now, at = group[a], firsts.value[int(to[a]), int(piece[a])]
+                slot[a:z] = np.arange(at, at + z - a)
+                at += z - a
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(to.astype(np.int32)), pa.array(slot)], [*names, "shard", "slot"])
+
+    return order.mapInArrow(number, T.StructType([*fields, T.StructField("shard", whole), T.StructField("slot", number_)]))
 
 
 def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
