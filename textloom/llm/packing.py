@@ -303,23 +303,21 @@ def pack(found: DataFrame, capacity: int, nodes: int = NODES) -> DataFrame:
     """The rows of `found` (from pieces(), or any with a length up to `capacity`) with sequence_id and offset.
 
     The pieces are cut first: ranks are given partition by partition, so these
-    must stay as they are if an executor is lost between the two passes.
+    must stay as they are if an executor is lost between the two passes. A
+    partition goes by the number written beside its rows.
     """
     spark = found.sparkSession
     names = found.columns
-    held = cut(found)
-    per = held.groupBy(F.spark_partition_id().alias("__part"), "length").count()
+    held = cut(found.withColumn("__part", F.spark_partition_id()))
+    per = held.groupBy("__part", "length").count()
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     first = per.select("__part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
     histogram = per.groupBy("length").agg(F.sum("count").alias("n")).orderBy("length").collect()
     plan = pack_histogram([r["length"] for r in histogram], [r["n"] for r in histogram], capacity, nodes)
     places = spark.sparkContext.broadcast(placements(plan))
-    schema = held.schema
+    schema = found.schema
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             length = b.column(b.schema.get_field_index("length")).to_numpy().astype(np.int64)
@@ -330,7 +328,7 @@ def pack(found: DataFrame, capacity: int, nodes: int = NODES) -> DataFrame:
             local[order] = np.arange(len(ordered)) - np.repeat(edge, np.diff(np.append(edge, len(ordered))))
             local += seen[length]
             seen += np.bincount(length, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(local)], [*b.schema.names, "__part", "__rank"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local)], [*b.schema.names, "__rank"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = places.value
@@ -345,6 +343,6 @@ def pack(found: DataFrame, capacity: int, nodes: int = NODES) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    ranked = held.mapInArrow(rank, T.StructType([*schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__rank", T.LongType())]))
+    ranked = held.mapInArrow(rank, T.StructType([*held.schema.fields, T.StructField("__rank", T.LongType())]))
     joined = ranked.join(first, ["__part", "length"]).select(*names, "__rank", "__first")
     return joined.mapInArrow(place, T.StructType([*schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
