@@ -3,18 +3,20 @@
 Documents become pieces of at most `capacity` tokens. How many sequences are
 needed depends only on how often each length occurs, so the pieces' lengths
 are counted (at most `capacity` numbers, however large the table) and the
-driver packs that histogram: the largest remaining length opens a sequence,
-a few of its undominated fillings are found by heuristics (`completions`; at
-most WIDTH, not all there are), best fit first, and one is applied as many times
-over as the counts allow. Depth-first branch and bound goes back to
-other fillings while the waste so far leaves room to beat the incumbent, which
-is best-fit decreasing at first. The plan is a list of patterns with
-multiplicities; each piece then finds its place from its rank among the pieces
-of its length, without any shuffle of texts or tokens.
+driver packs that histogram: the largest remaining length opens a sequence and
+one of its undominated fillings completes it, as many times over as the counts
+allow. Incumbents are best-fit solutions: best-fit decreasing, and dives that
+fill each sequence best by a convex value of the lengths (POWERS), which spares
+short parts for the end. Depth-first branch and bound then goes through all
+undominated fillings of each node (`fillings` makes them one by one, least
+waste first) while the waste so far leaves room to beat the incumbent. The plan
+is a list of patterns with multiplicities; each piece then finds its place from
+its rank among the pieces of its length, without any shuffle of texts or tokens.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are
-packed like any others; the histogram search is bounded by `nodes`, the same at
-every size; an empty table gives an empty result.
+packed like any others; equal counts of lengths give equal plans; the search
+ends when a lower bound is met, all fillings have been tried, or after `nodes`
+steps, the same at every size; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut, ship, slices, two
 
 PART_BYTES = 4 << 20
-#: Fillings tried at a node, and nodes visited before the incumbent is taken.
-WIDTH, NODES = 4, 8_000
+#: Steps of the branch and bound before the incumbent is taken.
+NODES = 2_000
+#: A part of a dive's filling is worth its length to such a power.
+POWERS = (1.1, 1.5)
 #: The JSON file's added tokens, which `tokenizers` finds in plain text even without add_special_tokens; the ranks file has none.
 ADDED = {"<|endoftext|>": 50256}
 
@@ -75,99 +79,143 @@ def best_fit_decreasing(lengths: np.ndarray, counts: np.ndarray, capacity: int)
     return [(p, m) for held in by_room for p, m in held]
 
 
-def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether b's parts can be put into a's parts without overflow, so that a can stand wherever b does."""
-
-    def place(i: int, room: list[int]) -> bool:
-        if i == len(b):
-            return True
-        for k in range(len(room)):
-            if room[k] >= b[i] and room[k] not in room[:k]:
-                room[k] -= b[i]
-                if place(i + 1, room):
-                    return True
-                room[k] += b[i]
-        return False
-
-    return sum(a) >= sum(b) and place(0, list(a))
-
-
-def fullest(room: int, counts: np.ndarray) -> tuple[int, ...]:
-    """The filling of `room` that wastes least, of any number of parts, its parts as long as can be.
-
-    Sums that can be reached with the shorter lengths are bits of one integer for each length.
-    """
+def _reach(room: int, counts: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Lengths in stock up to `room`, how many of each may be used, and for each how many first ones the sums they reach, as bits of one integer."""
     lengths = np.flatnonzero(counts[: room + 1]).tolist()
+    most = [min(int(counts[x]), room // x) for x in lengths]
     mask, reach = (1 << (room + 1)) - 1, [1]
-    for length in lengths:
-        sums, left, step = reach[-1], min(int(counts[length]), room // length), 1
+    for length, left in zip(lengths, most, strict=True):
+        sums, step = reach[-1], 1
         while left:
             took = min(step, left)
             sums |= (sums << (took * length)) & mask
             left, step = left - took, 2 * step
         reach.append(sums)
-    goal, parts = reach[-1].bit_length() - 1, []
-    for k in range(len(lengths) - 1, -1, -1):
-        length = lengths[k]
-        for many in range(min(int(counts[length]), goal // length), -1, -1):
-            if reach[k] >> (goal - many * length) & 1:
-                parts += [length] * many
-                goal -= many * length
-                break
+    return lengths, most, reach
+
+
+def undominated(parts: tuple[int, ...], room: int, spare: int) -> bool:
+    """Whether no spare length (a bit each) can stand in for one or more parts, or beside them, without overflow.
+
+    A filling that another one dominates always has such a single step to a
+    filling that is at least as good, so steps are all that need be tried.
+    """
+    left = room - sum(parts)
+    some = many = 0  # sums of one part or more, and of two or more
+    singles = 0
+    for x in parts:
+        many |= some << x
+        some |= some << x | 1 << x
+        singles |= 1 << x
+    # where a spare length of z takes the place of parts whose sum is z - left .. z, or of one that is shorter than z
+    singles, width = (singles << 1 | 1 << 1), 1
+    reach = many
+    while width <= left:
+        step = min(width, left + 1 - width)
+        reach |= reach << step
+        width += step
+    over, width = singles if left else 0, 1
+    while width < left:
+        step = min(width, left - width)
+        over |= over << step
+        width += step
+    return not spare & (reach | over)
+
+
+def fillings(room: int, counts: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of `room` from the stock, one by one: least waste first, then long parts before short ones."""
+    lengths, most, reach = _reach(room, counts)
+
+    def exact(goal: int, k: int) -> Iterator[tuple[int, ...]]:
         if not goal:
-            break
-    return tuple(parts)
-
-
-def completions(room: int, counts: np.ndarray, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Up to `width` fillings of `room` from the lengths in stock, none dominated by another of them, best fit first; few long parts before many short ones."""
-    stock = np.flatnonzero(counts[: room + 1])
-    if not len(stock):
-        return [()]
-    found: list[tuple[int, ...]] = [(int(stock[-1]),)]
-    if found[0][0] < room and len(stock):
-        # the best partner of each first part
-        at = np.searchsorted(stock, room - stock, "right") - 1
-        ok = (at >= 0) & (stock[np.maximum(at, 0)] <= stock)
-        same = ok & (stock[np.maximum(at, 0)] == stock) & (counts[stock] < 2)
-        at = np.where(same, at - 1, at)
-        ok &= at >= 0
-        firsts, partners = stock[ok], stock[np.maximum(at, 0)[ok]]
-        order = np.argsort(-(firsts + partners), kind="stable")[: 4 * width]
-        pairs = [(int(firsts[i]), int(partners[i])) for i in order]
-        found += pairs
-        if not any(sum(p) == room for p in pairs):
-            for a, b in pairs[:width]:  # filled up greedily
-                parts, left = [a, b], room - a - b
-                while left:
-                    short = stock[: int(np.searchsorted(stock, left, "right"))]
-                    pick = next((int(x) for x in short[::-1] if counts[x] > parts.count(int(x))), 0)
-                    if not pick:
-                        break
-                    parts.append(pick)
-                    left -= pick
-                found.append(tuple(parts))
-            for a in stock[::-1][: 8 * width].tolist():  # three parts that fill the room better
-                left = room - a
-                low = stock[stock <= min(a, left)]
-                if not len(low):
-                    continue
-                at = np.searchsorted(low, left - low, "right") - 1
-                best = np.where(at >= 0, low + low[np.maximum(at, 0)], -1)
-                i = int(np.argmax(best))
-                if best[i] > 0:
-                    parts = tuple(sorted((a, int(low[i]), int(low[at[i]])), reverse=True))
-                    if all(counts[x] >= parts.count(x) for x in parts):
-                        found.append(parts)
-    found.append(fullest(room, counts))
-    found = sorted(dict.fromkeys(found), key=lambda p: (-sum(p), len(p)))
-    kept: list[tuple[int, ...]] = []
-    for p in found:
-        if len(kept) == width:
-            break
-        if len(p) > 8 or not any(_dominates(q, p) for q in kept):
-            kept.append(p)
-    return kept
+            yield ()
+            return
+        for i in range(k - 1, -1, -1):
+            if not reach[i + 1] >> goal & 1:
+                return
+            length = lengths[i]
+            for many in range(min(most[i], goal // length), 0, -1):
+                if reach[i] >> (goal - many * length) & 1:
+                    for rest in exact(goal - many * length, i):
+                        yield (length,) * many + rest
+
+    stock = sum(1 << x for x in lengths)
+    sums = reach[-1]
+    while sums:
+        goal = sums.bit_length() - 1
+        sums ^= 1 << goal
+        for parts in exact(goal, len(lengths)):
+            used = sum(1 << x for x in set(parts) if parts.count(x) == counts[x])
+            if undominated(parts, room, stock ^ used):
+                yield parts
+
+
+def worthiest(room: int, counts: np.ndarray, worth: np.ndarray) -> tuple[int, ...]:
+    """The filling of `room` whose parts are worth most."""
+    best, takes = np.zeros(room + 1), []
+    for length in np.flatnonzero(counts[: room + 1]).tolist():
+        left, step = min(int(counts[length]), room // length), 1
+        while left:
+            took = min(step, left)
+            size = took * length
+            more = best[: room + 1 - size] + took * worth[length]
+            better = more > best[size:]
+            if better.any():
+                best[size:] = np.where(better, more, best[size:])
+                takes.append((length, took, better))
+            left, step = left - took, 2 * step
+    at, parts = room, []
+    for length, took, better in reversed(takes):
+        size = took * length
+        if at >= size and better[at - size]:
+            parts += [length] * took
+            at -= size
+    return tuple(sorted(parts, reverse=True))
+
+
+def _apply(stock: np.ndarray, pattern: tuple[int, ...], times: int | None = None) -> int:
+    """Take the pattern's parts out of the stock, as often as there are or `times`; how often that was."""
+    parts, need = np.unique(np.array(pattern), return_counts=True)
+    many = int((stock[parts] // need).min()) if times is None else times
+    stock[parts] -= need * many
+    return many
+
+
+def dive(stock: np.ndarray, capacity: int, power: float, most: int) -> list[tuple[tuple[int, ...], int]] | None:
+    """Sequences filled one after the other, around the largest length left, by a convex value of lengths; None if that takes `most` or more."""
+    stock, worth = stock.copy(), np.arange(capacity + 1.0) ** power
+    plan, used = [], 0
+    room_left = (most - 1) * capacity - int(stock @ np.arange(capacity + 1))
+    while stock.any():
+        top = int(np.flatnonzero(stock)[-1])
+        stock[top] -= 1
+        pattern = (top, *worthiest(capacity - top, stock, worth))
+        stock[top] += 1
+        times = _apply(stock, pattern)
+        room_left -= times * (capacity - sum(pattern))
+        if room_left < 0:
+            return None
+        plan.append((pattern, times))
+        used += times
+    return plan if used < most else None
+
+
+def _choices(stock: np.ndarray, capacity: int, room_left: int) -> Iterator[tuple[tuple[int, ...], int | None]]:
+    """Patterns around the largest length and how often to apply them: first as often as can be, then once, within the waste that is left."""
+    top = int(np.flatnonzero(stock)[-1])
+    rest = stock.copy()
+    rest[top] -= 1
+    several = False
+    for times in (None, 1):
+        if times and not several:
+            return
+        for parts in fillings(capacity - top, rest):
+            if capacity - top - sum(parts) > room_left:
+                break
+            need = {x: (top, *parts).count(x) for x in (top, *parts)}
+            several |= (often := min(int(stock[x]) // n for x, n in need.items())) > 1
+            if times is None or often > 1:
+                yield (top, *parts), times
 
 
 def pack_histogram(lengths: list[int], counts: list[int], capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
@@ -177,48 +225,37 @@ def pack_histogram(lengths: list[int], counts: list[int], capacity: int, nodes:
     n_l, n_c = np.array(lengths, np.int64), np.array(counts, np.int64)
     best = best_fit_decreasing(n_l, n_c, capacity)
     bound, most = least_bins(n_l, n_c, capacity), sum(m for _, m in best)
-    if most == bound:
-        return best
-    total = int(n_l @ n_c)
     stock = np.zeros(capacity + 1, np.int64)
     stock[n_l] = n_c
-    # a level: the stock there, fillings left to try, what was applied last
-    levels: list[list] = []
+    for power in POWERS:
+        if most == bound:
+            return best
+        if (found := dive(stock, capacity, power, most)) is not None:
+            best, most = found, sum(m for _, m in found)
+    total = int(n_l @ n_c)
+    # a level: the stock there, the choices left to try, what was used and wasted before, how long the plan was
+    levels: list[tuple] = [(stock, _choices(stock, capacity, (most - 1) * capacity - total), 0, 0, 0)]
     plan: list[tuple[tuple[int, ...], int]] = []
-    used, waste, visited = 0, 0, 0
-    while visited < nodes:
-        some = np.flatnonzero(stock)
-        if not len(some):
-            if used < most:
-                best, most = list(plan), used
-                if most == bound:
-                    break
-            stock = None
-        else:
-            # the waste bound: beating the incumbent leaves so much room in all
-            if waste > (most - 1) * capacity - total:
-                stock = None
-            else:
-                top = int(some[-1])
-                stock[top] -= 1
-                options = completions(capacity - top, stock)
-                stock[top] += 1
-                levels.append([stock, [(top, *p) for p in options], 0, used, waste, len(plan)])
-        # apply the next filling of the deepest level that has one
-        while levels and levels[-1][2] >= len(levels[-1][1]):
+    for _ in range(nodes):
+        # the deepest level's next choice that the waste bound allows
+        while levels:
+            held, choices, used, waste, depth = levels[-1]
+            taken = next(choices, None) if most > bound else None
+            if taken is not None:
+                break
             levels.pop()
         if not levels:
             break
-        level = levels[-1]
-        pattern = level[1][level[2]]
-        level[2] += 1
-        stock = level[0].copy()
-        parts, need = np.unique(np.array(pattern), return_counts=True)
-        times = int((stock[parts] // need).min())
-        stock[parts] -= need * times
-        used, waste = level[3] + times, level[4] + times * (capacity - sum(pattern))
-        plan = [*plan[: level[5]], (tuple(sorted(pattern, reverse=True)), times)]
-        visited += 1
+        now = held.copy()
+        times = _apply(now, *taken)
+        waste += times * (capacity - sum(taken[0]))
+        if waste > (most - 1) * capacity - total:
+            continue
+        plan = [*plan[:depth], (taken[0], times)]
+        if now.any():
+            levels.append((now, _choices(now, capacity, (most - 1) * capacity - total - waste), used + times, waste, depth + 1))
+        elif used + times < most:
+            best, most = list(plan), used + times
     return best
 
 
