@@ -374,11 +374,11 @@ def test_kneser_ney_sums_to_one():
     text = " the cat sat on the mat and the rat ate the hat"
     cps = np.array([ord(c) for c in text])
     grams, counts = np.unique(np.stack([cps[i : len(cps) - 4 + i] for i in range(5)], 1), axis=0, return_counts=True)
-    model = langid.kneser_ney(grams, counts, np.zeros(len(grams), np.int64), ["x"])
     alphabet = np.unique(grams[:, -1])
+    model = langid.kneser_ney(grams, counts, np.zeros(len(grams), np.int64), 1, len(alphabet) + 1)
     row = model.grams[0]
     one = np.array([np.exp(model.log_p[0][row.find(langid.keys(np.array([c]), np.array([0]), 1))[0], 0]) for c in alphabet])
-    unseen = np.exp(model.floor)
+    unseen = 1 / (len(alphabet) + 1)
     total = one.sum() + unseen * float(np.exp(model.log_back[0][0, 0]))
     assert abs(total - 1) < 1e-3
 

@@ -4,46 +4,53 @@ Texts are lower-cased, and every run of characters that aren't letters becomes
 one space. For each language an interpolated Kneser-Ney model of order 5 gives
 the probability of each character after the four before it: the highest order
 counts n-grams, the lower ones count how many different characters precede
-them, each order's discount is n1 / (n1 + 2 n2), and the lowest is mixed with a
-uniform distribution. The n-grams of all languages stand in one sorted array of
-64-bit hashes for each order, with a matrix of log-probabilities beside it
-(complete for each language, whether or not it has the n-gram itself), so a
-character costs one look-up at order 5 and falls to lower orders only where no
-language has its n-gram. The language of lowest cross-entropy a character wins.
+them, each order's discount is n1 / (n1 + 2 n2), kept within 0.1 and 0.95, and
+the lowest is mixed with a uniform distribution. Languages stand in blocks of
+BLOCK. The n-grams of a block stand in one sorted array of 64-bit hashes for
+each order, with a matrix of log-probabilities beside it (complete for each
+language of the block, whether or not it has the n-gram itself), so a character
+costs one look-up a block at order 5 and falls to lower orders only where no
+language of it has its n-gram; memory follows the n-grams, not their number
+times all languages. The language of lowest cross-entropy a character wins.
 
 A temperature, fitted on training texts kept out of the counts, turns the
 differences of cross-entropy into a score; a text is rejected if its best
 cross-entropy is above nearly all of those texts' (`rejected`).
 
-The models are fitted on the driver from the distinct 5-grams, with counts, of
-about `max_rows` training texts a language at most, counted on the executors.
+Each language is learned from at most `max_rows` of its distinct texts, picked
+by a hash of language and text; nothing else bounds the model, and all n-grams
+of those texts count. Of a language's picked texts, in the order of their
+hashes, every CALIBRATE-th is kept out of the counts, whatever their number, so
+a language of fewer texts is learned from all. n-grams are counted, and each
+block is built, on the executors; the driver takes the built blocks.
 
 Defined cases: a null text or one without letters is `und` with score 0; a null
-language is never learned; without training texts all is `und`; equal
-cross-entropies go to the first language by name; extra columns stay unread.
+language is never learned; without training texts all is `und`; without texts
+kept out the temperature is 20 and nothing but `und` is rejected; a text that
+occurs often in a language counts once; equal cross-entropies go to the first
+language by name; extra columns stay unread.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import free_name, ship, slices
+from textloom.llm.common import drop, free_name, ship, slices, table
 from textloom.llm.words import mix
 
 ORDER = 5
-#: Training texts of a language: about so many at most; one in CALIBRATE of them is kept out of the counts.
+#: Training texts of a language: so many at most; one in CALIBRATE of them is kept out of the counts.
 MAX_ROWS, CALIBRATE = 2_000, 5
-#: Distinct 5-grams of all languages that the driver takes at most, the most frequent first.
-MAX_GRAMS = 3_000_000
-#: And so many n-grams times languages at most, as each n-gram has a probability for every language: the model's size is bounded.
-MAX_CELLS = 24_000_000
+#: Languages whose n-grams share tables.
+BLOCK = 8
 #: The share of calibration texts that may be rejected.
 REJECT = 0.001
 PART_BYTES = 2 << 20
@@ -104,24 +111,18 @@ class Sorted:
 
 
 @dataclass
-class Model:
-    languages: list[str]
+class Block:
+    """The models of a few languages."""
+
     grams: list[Sorted] = field(default_factory=list)  # by order - 1
     log_p: list[np.ndarray] = field(default_factory=list)  # (n-grams, languages)
     contexts: list[Sorted] = field(default_factory=list)  # of order - 1 characters
     log_back: list[np.ndarray] = field(default_factory=list)  # (contexts, languages): the weight of the lower order
-    floor: float = -20.0
-    temperature: float = 20.0
-    limit: float = float("inf")
+    discounts: list[np.ndarray] = field(default_factory=list)
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) mean -log p a character, and how many letters each text has."""
-        cps, offsets = symbols(texts)
-        n_letters = np.diff(np.append(0, np.cumsum(cps != 32))[offsets])
-        starts, sizes = offsets[:-1], np.diff(offsets)
-        place = np.arange(len(cps)) - np.repeat(starts, sizes)
-        at = np.flatnonzero(place > 0)
-        total = np.zeros((len(at), len(self.languages)), np.float32)
+    def log_probabilities(self, cps: np.ndarray, place: np.ndarray, at: np.ndarray, floor: float) -> np.ndarray:
+        """(positions, languages) of the characters at `at`, each after those before it in its text."""
+        total = np.zeros((len(at), self.log_p[0].shape[1]), np.float32)
         order = np.minimum(place[at] + 1, ORDER)
         active = np.arange(len(at))
         for n in range(ORDER, 0, -1):
@@ -136,12 +137,33 @@ class Model:
             some = ctx >= 0
             total[miss[some]] += self.log_back[n - 1][ctx[some]]
             active = np.concatenate((miss, active[~here]))
-        total[active] += self.floor
-        sums = np.zeros((len(texts), len(self.languages)))
+        total[active] += floor
+        return total
+
+
+@dataclass
+class Model:
+    languages: list[str]
+    blocks: list[Block] = field(default_factory=list)
+    floor: float = -20.0
+    temperature: float = 20.0
+    limit: float = float("inf")
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, languages) mean -log p a character, and how many letters each text has."""
+        cps, offsets = symbols(texts)
+        n_letters = np.diff(np.append(0, np.cumsum(cps != 32))[offsets])
+        starts, sizes = offsets[:-1], np.diff(offsets)
+        place = np.arange(len(cps)) - np.repeat(starts, sizes)
+        at = np.flatnonzero(place > 0)
         counts = np.maximum(sizes - 1, 0)
         some = counts > 0
+        sums = np.zeros((len(texts), len(self.languages)))
         if some.any():
-            sums[some] = np.add.reduceat(total, (np.cumsum(counts) - counts)[some], axis=0)
+            first = (np.cumsum(counts) - counts)[some]
+            for k, block in enumerate(self.blocks):
+                found = block.log_probabilities(cps, place, at, self.floor)
+                sums[some, k * BLOCK : k * BLOCK + found.shape[1]] = np.add.reduceat(found, first, axis=0)
         return -sums / np.maximum(counts, 1)[:, None], n_letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -156,12 +178,9 @@ class Model:
         return [self.languages[b] if k else "und" for b, k in zip(best.tolist(), n.tolist(), strict=True)], score, low, (n == 0) | (low > self.limit)
 
 
-def kneser_ney(grams: np.ndarray, counts: np.ndarray, owner: np.ndarray, languages: list[str]) -> Model:
+def kneser_ney(grams: np.ndarray, counts: np.ndarray, owner: np.ndarray, n_lang: int, alphabet: int) -> Block:
     """From distinct (5-gram, language) rows with counts; grams is (rows, ORDER) code points, oldest first."""
-    model = Model(languages)
-    n_lang = len(languages)
-    alphabet = len(np.unique(grams[:, -1])) + 1
-    model.floor = float(-np.log(alphabet))
+    model = Block()
     level, weight, lang = grams, counts.astype(np.float64), owner
     levels = [(level, weight, lang)]
     for _ in range(ORDER - 1):
@@ -194,6 +213,8 @@ def kneser_ney(grams: np.ndarray, counts: np.ndarray, owner: np.ndarray, languag
             discount[i] = min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
         seen = total > 0
         back = np.where(seen, discount[None, :] * kinds / np.where(seen, total, 1), 1.0)
+        if not len(c_keys):  # nothing learned: the lower order has all the weight
+            c_keys, back = np.zeros(1, np.uint64), np.ones((1, n_lang))
         g_keys, g_row, g_at = np.unique(key, return_index=True, return_inverse=True)
         own = np.zeros((len(g_keys), n_lang))
         np.add.at(own, (g_at, lang), np.maximum(weight - discount[lang], 0) / total[c_at, lang])
@@ -208,33 +229,40 @@ def kneser_ney(grams: np.ndarray, counts: np.ndarray, owner: np.ndarray, languag
         model.log_p.append(np.log(p).astype(np.float32))
         model.contexts.append(Sorted(c_keys))
         model.log_back.append(np.log(back).astype(np.float32))
+        model.discounts.append(discount)
         lower = (table, p)
     return model
 
 
-def fit(train: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on the rows of train with text and language; about max_rows a language at most, picked by a hash of the id."""
+def _sample(train: DataFrame, max_rows: int, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, rank, text): at most max_rows distinct texts of each language, ranked from 1 by a hash."""
+    lang, text = train[lang_col].cast("string"), train[text_col].cast("string")
+    rows = train.select(F.xxhash64(lang, text).alias("spot"), lang.alias("lang"), text.alias("text")).where("lang is not null and text is not null")
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a number for each language
+    share = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(min(1.0, max_rows / n)))]) if totals else F.create_map(F.lit(""), F.lit(0.0))
+    picked = rows.where(F.pmod("spot", F.lit(1 << 40)) / float(1 << 40) < share[F.col("lang")])
+    # equal rows become one before any of them meets others, so a hot text stays small
+    once = picked.groupBy("lang", "spot").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("spot"))
+    return table(once.select("lang", rank.alias("rank"), "text").where(F.col("rank") <= max_rows), "lang-sample")
+
+
+def fit(train: DataFrame, max_rows: int = MAX_ROWS, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on the rows of train with text and language, on at most max_rows of each language's texts."""
     spark = train.sparkSession
     ship(spark)
-    rows = train.select(F.xxhash64(train[id_col].cast("long"), train[lang_col]).alias("spot"), train[lang_col].cast("string").alias("lang"), train[text_col].alias("text")).where("lang is not null and text is not null")
-    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a number for each language
-    if not totals:
+    sample = _sample(train, max_rows, text_col, lang_col)
+    names = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    if not names:
         return Model([])
-    share = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(min(1.0, max_rows / n)))])
-    unit = F.pmod("spot", F.lit(1 << 40))
-    picked = rows.where(unit / float(1 << 40) < share[F.col("lang")])
-    few = sum(min(n, max_rows) for n in totals.values()) < 50 * CALIBRATE
-    names = sorted(totals)
     index = {k: i for i, k in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, PART_BYTES):
-            langs = np.array([index[x] for x in part.column(1).to_pylist()])
-            spots = part.column(0).to_numpy()
-            use = np.ones(len(langs), bool) if few else (spots >> 41) % CALIBRATE != 0
-            texts = part.column(2).to_pylist()
-            for i in np.unique(langs[use]).tolist():
-                cps, offsets = symbols([texts[k] for k in np.flatnonzero(use & (langs == i)).tolist()])
+            langs = np.array([index[x] for x in part.column(0).to_pylist()])
+            texts = part.column(1).to_pylist()
+            for i in np.unique(langs).tolist():
+                cps, offsets = symbols([texts[k] for k in np.flatnonzero(langs == i).tolist()])
                 place = np.arange(len(cps)) - np.repeat(offsets[:-1], np.diff(offsets))
                 at = np.flatnonzero(place >= ORDER - 1)
                 _, first, times = np.unique(keys(cps, at, ORDER), return_index=True, return_counts=True)
@@ -243,12 +271,28 @@ def fit(train: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text
                 gram = [wide[k].tobytes() for k in range(len(wide))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), i, np.int32)), pa.array(gram, pa.binary()), pa.array(times.astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = picked.mapInArrow(count, "lang int, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(min(MAX_GRAMS, MAX_CELLS // len(names))).toArrow()
-    if not counted.num_rows:
+    learned = sample.where(F.col("rank") % CALIBRATE != 0).select("lang", "text")
+    counted = table(learned.mapInArrow(count, "lang int, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
+    alphabet = counted.select(F.substring("gram", 4 * ORDER - 3, 4)).distinct().count() + 1
+    n_lang = len(names)
+
+    def build(rows: pa.Table) -> pa.Table:
+        k = rows["block"][0].as_py()
+        order = np.lexsort((np.array(rows["gram"].to_pylist(), object), rows["lang"].to_numpy()))
+        grams = np.frombuffer(b"".join(rows["gram"].to_pylist()), "<u4").reshape(-1, ORDER).astype(np.int64)[order]
+        made = kneser_ney(grams, rows["n"].to_numpy()[order], rows["lang"].to_numpy().astype(np.int64)[order] - k * BLOCK, min(BLOCK, n_lang - k * BLOCK), alphabet)
+        return pa.table({"block": pa.array([k], pa.int32()), "model": pa.array([pickle.dumps(made)], pa.binary())})
+
+    blocks = counted.withColumn("block", F.floor(F.col("lang") / BLOCK).cast("int")).groupBy("block").applyInArrow(build, "block int, model binary")
+    found = {r["block"]: pickle.loads(r["model"]) for r in blocks.collect()}  # noqa: S301 - made above
+    if not found:
         return Model([])
-    grams = np.frombuffer(b"".join(counted["gram"].to_pylist()), "<u4").reshape(-1, ORDER).astype(np.int64)
-    model = kneser_ney(grams, counted["n"].to_numpy(), counted["lang"].to_numpy().astype(np.int64), names)
-    return calibrated(model, picked if few else picked.where(F.expr(f"pmod(shiftright(spot, 41), {CALIBRATE}) = 0")), index)
+    empty = np.empty((0, ORDER), np.int64)
+    made = [found.get(k) or kneser_ney(empty, empty[:, 0], empty[:, 0], min(BLOCK, n_lang - k * BLOCK), alphabet) for k in range(-(-n_lang // BLOCK))]
+    model = Model(names, made, float(-np.log(alphabet)))
+    model = calibrated(model, sample.where(F.col("rank") % CALIBRATE == 0), index)
+    drop(sample, counted)
+    return model
 
 
 def calibrated(model: Model, rows: DataFrame, index: dict[str, int]) -> Model:
@@ -258,7 +302,7 @@ def calibrated(model: Model, rows: DataFrame, index: dict[str, int]) -> Model:
         for part in slices(batches, PART_BYTES):
             h, n = held.value.entropies(part.column(2).to_pylist())
             some = np.flatnonzero(n > 0)
-            yield pa.RecordBatch.from_arrays([pa.array([index[x] for x in part.column(1).to_pylist()], pa.int32()).take(pa.array(some)), pa.array(list(h[some]), pa.list_(pa.float64()))], ["lang", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array([index[x] for x in part.column(0).to_pylist()], pa.int32()).take(pa.array(some)), pa.array(list(h[some]), pa.list_(pa.float64()))], ["lang", "h"])
 
     found = rows.mapInArrow(run, "lang int, h array<double>").toArrow()
     if found.num_rows:
@@ -276,7 +320,7 @@ def calibrated(model: Model, rows: DataFrame, index: dict[str, int]) -> Model:
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs, with lang_pred, score, cross_entropy and rejected."""
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_CELLS numbers of each order
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BLOCK numbers for each n-gram of the bounded sample
     own = free_name(keep, "text")
     rows = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text_col], F.lit("")).alias(own))
 
