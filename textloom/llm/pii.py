@@ -47,7 +47,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_MASKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?[\[(](?:at|AT)[\])][\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?[\[(](?:dot|DOT)[\])][\x20]?[A-Za-z0-9-]{1,63}){1,8}")
+_MASKED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[\x20]?[\[(](?:at|AT)[\])][\x20]?[A-Za-z0-9-]++(?:[\x20]?[\[(](?:dot|DOT)[\])][\x20]?[A-Za-z0-9-]++)++")
 _DIGIT = re.compile(r"[0-9]")
 
 _DOMAINS = frozenset("com org net edu gov mil int info biz io co dev app ai me us uk de fr es it nl be ch at pt pl ru cn jp kr in br mx ar ca au nz se no dk fi cz gr tr za ie eu".split())
