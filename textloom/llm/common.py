@@ -100,6 +100,24 @@ def slices(batches: Iterator[pa.RecordBatch], size: int, column: str = "text") -
             at = to
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """docs with a key that no two documents share, and its name: the id where it tells a row's text, else a number above all ids.
+
+    Rows without an id, and rows whose id has unlike texts, get numbers, which
+    are written once; rows of one id and one text are one document.
+    """
+    key, own = free_name(docs.columns, "__key"), docs[id_col].cast("long")
+    marks = docs.select(own.alias("i"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("m"))
+    unlike = table(marks.where("i is not null").groupBy("i").agg(F.min("m").alias("a"), F.max("m").alias("b")).where("a <> b").select(F.col("i").alias("__unlike")), "unlike")
+    most = marks.agg(F.max("i")).first()[0] or 0
+    rest, odd = docs.where(own.isNotNull()), docs.where(own.isNull())
+    if rows_of(unlike):
+        odd = odd.unionByName(docs.join(unlike, own == unlike["__unlike"], "left_semi"))
+        rest = rest.join(unlike, own == unlike["__unlike"], "left_anti")
+    held = table(odd.withColumn(key, F.monotonically_increasing_id() + F.lit(most + 1)), "odd-ids")
+    return rest.withColumn(key, own).unionByName(held), key
+
+
 def free_name(taken: list[str], wish: str) -> str:
     """A column name that isn't taken, whatever the case."""
     low = {x.lower() for x in taken}
