@@ -2,6 +2,11 @@
 
 Each stage takes the documents its predecessor kept, as written Parquet, and
 returns documents with all their columns; the last returns packed pieces.
+
+Defined cases, for each stage: a null text is judged as an empty one and stays
+null; a null or repeated id keeps each row's own text; columns of any name pass
+through untouched, but for `text` and `n_chars`, which follows a changed text;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import minhash, packing, pii, quality, substrings
-from textloom.llm.common import shared_dir
+from textloom.llm.common import keyed, shared_dir
 
 
 def _with_text(docs: DataFrame, row: str, text: DataFrame) -> DataFrame:
@@ -31,33 +36,37 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the top grade (good and not toxic) is at least a half."""
+    """Documents whose probability of the top grade (good and not toxic) is at least a half; all, if none is rated."""
     model = quality.fit(docs, quality.ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), 3)
     return quality.select(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near-duplicates; repeated rows of an id are one."""
-    found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    named = left.where("doc_id is not null")
-    return named.dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """One document, that of the least id, of each class of near-duplicates.
+
+    Rows of one id and one text are one document. Rows without an id, and those
+    of an id that has unlike texts, are documents of their own, after all others.
+    """
+    rows, key = keyed(docs)
+    found = minhash.near_duplicates(rows, words=5, percent=80, id_col=key)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    left = rows.join(gone, rows[key] == gone["__gone"], "left_anti")
+    return left.dropDuplicates([key]).drop(key)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 20 words or more that a document before has too."""
+    """Documents without the passages of 20 words or more that a document before has too; a text may become empty, its row stays."""
     rows, row = substrings.numbered(docs)
     return _with_text(rows, row, substrings.shortened(rows, row, length=20))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; texts without any stay as they are."""
     return _counted(pii.redacted(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens, packed into sequences of at most 1024."""
+    """Pieces of the documents' tokens, packed into sequences of at most 1024; an empty text is its end token alone."""
     found = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=2, capacity=1024)
     return packing.pack(found, 1024)
 
