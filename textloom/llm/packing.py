@@ -15,8 +15,8 @@ its rank among the pieces of its length, without any shuffle of texts or tokens.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are
 packed like any others; equal counts of lengths give equal plans; the search
-ends when a lower bound is met, all fillings have been tried, or after `nodes`
-steps, the same at every size; an empty table gives an empty result.
+ends when a lower bound is met, when all fillings have been tried, or after
+`nodes` patterns or STEPS parts, the same at every size; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut, ship, slices, two
 
 PART_BYTES = 4 << 20
-#: Steps of the branch and bound before the incumbent is taken.
-NODES = 2_000
+#: Patterns that the branch and bound applies, and parts that it tries for them, before the incumbent is taken.
+NODES, STEPS = 2_000, 500_000
 #: A part of a dive's filling is worth its length to such a power.
 POWERS = (1.1, 1.5)
 #: The JSON file's added tokens, which `tokenizers` finds in plain text even without add_special_tokens; the ranks file has none.
@@ -94,60 +94,73 @@ def _reach(room: int, counts: np.ndarray) -> tuple[list[int], list[int], list[in
     return lengths, most, reach
 
 
-def undominated(parts: tuple[int, ...], room: int, spare: int) -> bool:
-    """Whether no spare length (a bit each) can stand in for one or more parts, or beside them, without overflow.
+class Steps:
+    """How many more parts the search may try."""
 
-    A filling that another one dominates always has such a single step to a
-    filling that is at least as good, so steps are all that need be tried.
-    """
-    left = room - sum(parts)
-    some = many = 0  # sums of one part or more, and of two or more
-    singles = 0
-    for x in parts:
-        many |= some << x
-        some |= some << x | 1 << x
-        singles |= 1 << x
-    # where a spare length of z takes the place of parts whose sum is z - left .. z, or of one that is shorter than z
-    singles, width = (singles << 1 | 1 << 1), 1
-    reach = many
-    while width <= left:
-        step = min(width, left + 1 - width)
-        reach |= reach << step
-        width += step
-    over, width = singles if left else 0, 1
-    while width < left:
-        step = min(width, left - width)
-        over |= over << step
-        width += step
-    return not spare & (reach | over)
-
-
-def fillings(room: int, counts: np.ndarray) -> Iterator[tuple[int, ...]]:
-    """All undominated fillings of `room` from the stock, one by one: least waste first, then long parts before short ones."""
-    lengths, most, reach = _reach(room, counts)
+    def __init__(self, left: int) -> None:
+        self.left = left
 
-    def exact(goal: int, k: int) -> Iterator[tuple[int, ...]]:
-        if not goal:
-            yield ()
-            return
-        for i in range(k - 1, -1, -1):
-            if not reach[i + 1] >> goal & 1:
-                return
-            length = lengths[i]
-            for many in range(min(most[i], goal // length), 0, -1):
-                if reach[i] >> (goal - many * length) & 1:
-                    for rest in exact(goal - many * length, i):
-                        yield (length,) * many + rest
+    def take(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def _spread(bits: int, width: int) -> int:
+    """bits, and each of them at the next `width` places too."""
+    done = 0
+    while done < width:
+        step = min(done + 1, width - done)
+        bits |= bits << step
+        done += step
+    return bits
 
+
+def fillings(room: int, counts: np.ndarray, waste: int | None = None, steps: Steps | None = None) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of `room` from the stock, one by one: least waste first, then long parts before short ones.
+
+    waste: none that waste more. A filling is dominated if another one has parts
+    that take its parts up; then it has such a single step to one at least as
+    good: a spare length beside its parts, or in place of one or more of them.
+    As parts are chosen from long to short, a spare length that can replace
+    some of them stays spare, so a dominated beginning is given up at once.
+    """
+    lengths, most, reach = _reach(room, counts)
+    steps = steps or Steps(1 << 62)
     stock = sum(1 << x for x in lengths)
+    # lengths of which no filling can use up all
+    always = sum(1 << x for x, n in zip(lengths, most, strict=True) if counts[x] > room // x)
     sums = reach[-1]
     while sums:
         goal = sums.bit_length() - 1
         sums ^= 1 << goal
-        for parts in exact(goal, len(lengths)):
-            used = sum(1 << x for x in set(parts) if parts.count(x) == counts[x])
-            if undominated(parts, room, stock ^ used):
-                yield parts
+        left = room - goal
+        low = (1 << (left + 1)) - 1
+        if (waste is not None and left > waste) or always & low:
+            return  # there is room beside these, and beside all fillings that waste more
+
+        def exact(goal: int, k: int, spare: int, some: int, many: int, singles: int, left: int = left, low: int = low) -> Iterator[tuple[int, ...]]:
+            # some, many, singles: sums of one part or more, of two or more, and the parts themselves, as bits
+            if not goal:
+                if not spare & low & ~1:
+                    yield ()
+                return
+            for i in range(k - 1, -1, -1):
+                if not reach[i + 1] >> goal & 1:
+                    return
+                length = lengths[i]
+                s, m, one, parts = some, many, singles | 1 << length, 0
+                for parts in range(1, min(most[i], goal // length) + 1):
+                    if not steps.take():
+                        return
+                    s, m = s | s << length | 1 << length, m | s << length
+                    now = spare & ~(1 << length) if parts == counts[length] else spare
+                    if now & (_spread(m, left) | (_spread(one << 1, left - 1) if left else 0)):
+                        break
+                    if reach[i] >> (goal - parts * length) & 1:
+                        for rest in exact(goal - parts * length, i, now, s, m, one):
+                            yield (length,) * parts + rest
+
+        yield from exact(goal, len(lengths), stock, 0, 0, 0)
 
 
 def worthiest(room: int, counts: np.ndarray, worth: np.ndarray) -> tuple[int, ...]:
@@ -200,7 +213,7 @@ def dive(stock: np.ndarray, capacity: int, power: float, most: int) -> list[tupl
     return plan if used < most else None
 
 
-def _choices(stock: np.ndarray, capacity: int, room_left: int) -> Iterator[tuple[tuple[int, ...], int | None]]:
+def _choices(stock: np.ndarray, capacity: int, room_left: int, steps: Steps) -> Iterator[tuple[tuple[int, ...], int | None]]:
     """Patterns around the largest length and how often to apply them: first as often as can be, then once, within the waste that is left."""
     top = int(np.flatnonzero(stock)[-1])
     rest = stock.copy()
@@ -209,9 +222,7 @@ def _choices(stock: np.ndarray, capacity: int, room_left: int) -> Iterator[tuple
     for times in (None, 1):
         if times and not several:
             return
-        for parts in fillings(capacity - top, rest):
-            if capacity - top - sum(parts) > room_left:
-                break
+        for parts in fillings(capacity - top, rest, room_left, steps):
             need = {x: (top, *parts).count(x) for x in (top, *parts)}
             several |= (often := min(int(stock[x]) // n for x, n in need.items())) > 1
             if times is None or often > 1:
@@ -232,9 +243,9 @@ def pack_histogram(lengths: list[int], counts: list[int], capacity: int, nodes:
             return best
         if (found := dive(stock, capacity, power, most)) is not None:
             best, most = found, sum(m for _, m in found)
-    total = int(n_l @ n_c)
+    total, steps = int(n_l @ n_c), Steps(STEPS)
     # a level: the stock there, the choices left to try, what was used and wasted before, how long the plan was
-    levels: list[tuple] = [(stock, _choices(stock, capacity, (most - 1) * capacity - total), 0, 0, 0)]
+    levels: list[tuple] = [(stock, _choices(stock, capacity, (most - 1) * capacity - total, steps), 0, 0, 0)]
     plan: list[tuple[tuple[int, ...], int]] = []
     for _ in range(nodes):
         # the deepest level's next choice that the waste bound allows
@@ -253,7 +264,7 @@ def pack_histogram(lengths: list[int], counts: list[int], capacity: int, nodes:
             continue
         plan = [*plan[:depth], (taken[0], times)]
         if now.any():
-            levels.append((now, _choices(now, capacity, (most - 1) * capacity - total - waste), used + times, waste, depth + 1))
+            levels.append((now, _choices(now, capacity, (most - 1) * capacity - total - waste, steps), used + times, waste, depth + 1))
         elif used + times < most:
             best, most = list(plan), used + times
     return best
