@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom import errors
 from textloom.errors import EngineError, translated
 from textloom.functions.dialect import COMPAT, OWN
-from textloom.operators import sqltext
+from textloom.operators import frames, repair, sqltext
 from textloom.options import ReadOptions
 from textloom.sources import cache, delimited, files, sqlite
 from textloom.sources.infer import Schema
@@ -180,7 +180,7 @@ class Engine:
     def _delimited(self, name: str, options: ReadOptions, sample_only: bool) -> TableInfo:
         spark = self.spark
         paths = files.expand(spark, name, cache.SUFFIX)
-        schema = delimited.schema_of(spark, paths, options)
+        schema = delimited.schema_of(spark, paths, options, not sample_only)
         single = len(paths) == 1 and not any(c in name for c in "*?[") and not files.is_remote(paths[0])
         folder = paths[0] + cache.SUFFIX if single else ""
         there = bool(folder) and os.path.isdir(folder)
@@ -222,13 +222,18 @@ class Engine:
             text = sqltext.name_columns(text)
         out, _ = sqltext.with_tables(text, resolve)
         if self.compat:
-            out = sqltext.rewrite_operators(out)
+            out = sqltext.rewrite_operators(frames.rewrite_frames(out))
         return sqltext.rewrite_calls(out, OWN | (COMPAT if self.compat else {}) | self.functions), used
 
+    def _settled(self, text: str, used: dict[str, TableInfo]) -> tuple[DataFrame, str]:
+        if not self.compat:
+            return self.spark.sql(text), text
+        decimals = bool(re.search(r"(?i)\bdecimal\b", text)) or any(kind.startswith("decimal") for t in used.values() for _, kind in t.frame.dtypes)
+        return repair.analysed(self.spark, text, decimals)
+
     def sql(self, text: str, **changes) -> DataFrame:  # noqa: ANN003
         """The query as a lazy DataFrame; failures are raised."""
-        out, _ = self.rewritten(text, **changes)
-        return self.spark.sql(out)
+        return self._settled(*self.rewritten(text, **changes))[0]
 
     def execute(self, text: str, sample_only: bool = False, **changes) -> Result:  # noqa: ANN003
         """The query as an envelope; failures are returned in it."""
@@ -237,7 +242,7 @@ class Engine:
             if isinstance(text, bytes):
                 raise EngineError(errors.NOT_UNICODE, "Query must be text, not bytes")
             out, used = self.rewritten(text, sample_only, **changes)
-            frame = self.spark.sql(out)
+            frame, out = self._settled(out, used)
         except UnicodeError as e:
             return Result("error", error=EngineError(errors.DECODE, str(e)))
         except Exception as e:  # noqa: BLE001

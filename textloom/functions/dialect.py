@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from textloom import errors
 from textloom.errors import EngineError
+from textloom.operators.sqltext import glob_match
 
 EXT = r"(?:^|/)\.*[^./][^/]*?(\.[^./]*)$"
 BASENAME = r"([^/]*)$"
@@ -120,7 +121,7 @@ OWN: dict[str, Callable[[list[str]], str | None]] = {
     "file_folder": _folder,
     "file_basename": _one("file_basename", _basename),
     "file_basename_no_ext": _no_ext,
-    "percentile": lambda a: f"(case when ({a[1]}) between 0 and 1 then percentile({a[0]}, least(1d, greatest(0d, cast({a[1]} as double)))) end)" if len(a) == 2 and re.fullmatch(r"[0-9.eE+-]+", a[1].strip()) else None,
+    "percentile": lambda a: f"(case when ({a[1]}) between 0 and 1 then percentile({a[0]}, least(1d, greatest(0d, cast(({a[1]}) as double)))) end)" if len(a) == 2 and not a[1].strip().lower().startswith(("array", "[")) else None,
     "stddev_pop": _one("stddev_pop", lambda x: f"(case when count({x}) > 1 then stddev_pop({x}) end)"),
     "stddev_sample": _one("stddev_sample", lambda x: f"stddev_samp({x})"),
 }
@@ -157,7 +158,7 @@ def _moment(value: str, modifiers: list[str]) -> str:
     elif "auto" in mods[:1]:
         out, mods = f"timestamp_seconds(cast(({v}) as double))", mods[1:]
     else:
-        out = f"coalesce(try_cast(({v}) as timestamp), timestamp_seconds(try_cast(({v}) as double) * 86400D - 210866760000D))"
+        out = f"coalesce(try_cast(({v}) as timestamp), timestamp_seconds(try_cast(cast(({v}) as string) as double) * 86400D - 210866760000D))"
     for m in mods:
         if k := re.fullmatch(r"start of (day|month|year)", m):
             out = f"date_trunc('{k[1]}', {out})"
@@ -260,9 +261,12 @@ def _json_extract(a: list[str]) -> str:
 
 
 COMPAT: dict[str, Callable[[list[str]], str | None]] = {
+    "generate_series": lambda a: f"(select id as value from range({a[0]}, ({a[1]}) + 1{', ' + a[2] if len(a) > 2 else ''}))" if len(a) in (2, 3) else None,
     "group_concat": lambda a: f"listagg({a[0].replace('DISTINCT', 'distinct')}, {a[1] if len(a) > 1 else chr(39) + ',' + chr(39)})",
     "string_agg": lambda a: f"listagg({', '.join(a)})",
     "total": _one("total", lambda x: f"coalesce(cast(sum({x}) as double), 0d)"),
+    "glob": lambda a: f"cast({glob_match(a[0], a[1])} as int)" if len(a) == 2 else None,
+    "like": lambda a: f"cast((({a[1]}) ilike {a[0]}) as int)" if len(a) == 2 else None,
     "iif": lambda a: f"if({', '.join(a)})",
     "substr": _substr,
     "substring": _substr,
@@ -285,6 +289,7 @@ COMPAT: dict[str, Callable[[list[str]], str | None]] = {
     "likely": _one("likely", lambda x: f"({x})"),
     "unlikely": _one("unlikely", lambda x: f"({x})"),
     "likelihood": lambda a: f"({a[0]})",
+    "textloom_typeof": lambda a: f"typeof({a[0]})",  # Spark's own, which is settled before the query runs
     "typeof": _one("typeof", lambda x: f"(case when ({x}) is null then 'null' when typeof({x}) in ('int', 'bigint', 'smallint', 'tinyint', 'boolean') then 'integer' when typeof({x}) in ('double', 'float') or typeof({x}) like 'decimal%' then 'real' when typeof({x}) = 'binary' then 'blob' else 'text' end)"),
     "date": _formatted("yyyy-MM-dd"),
     "time": _formatted("HH:mm:ss"),

@@ -97,7 +97,7 @@ def fitted(row: list[str], n: int, delimiter: str) -> list[str | None]:
 
 
 def convert(value: str | None, kind: str):  # noqa: ANN201
-    """The value in its column's type; empty numbers are null, and so are misfits, which callers count."""
+    """The value in its column's type; empty numbers are null. Columns with values that fit no number are text before it comes to this."""
     if value is None or kind == "text":
         return value
     if kind == "int":

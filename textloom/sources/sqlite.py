@@ -59,8 +59,29 @@ def quoted(name: str) -> str:
 
 
 def schema_of(path: str, table: str) -> T.StructType:
+    """Each column's type by its declaration, widened to what its values are: any of them may be of any type in SQLite.
+
+    Reals in an integer column make it double, texts make it text, and blobs
+    beside anything else make it binary, so that no value is lost. One scan
+    inside SQLite tells.
+    """
     with connect(path) as con:
-        return T.StructType([T.StructField(r[1], affinity(r[2])) for r in con.execute(f"pragma table_info({quoted(table)})")])
+        declared = [(r[1], affinity(r[2])) for r in con.execute(f"pragma table_info({quoted(table)})")]
+        if not declared:
+            return T.StructType([])
+        kinds = ", ".join(f"max(typeof({quoted(n)}) = '{k}')" for n, _ in declared for k in ("real", "text", "blob"))
+        found = con.execute(f"select {kinds} from {quoted(table)}").fetchone()
+    fields = []
+    for i, (name, kind) in enumerate(declared):
+        real, text, blob = found[3 * i : 3 * i + 3]
+        if blob:
+            kind = T.BinaryType()
+        elif text and not isinstance(kind, T.BinaryType):
+            kind = T.StringType()
+        elif real and isinstance(kind, T.LongType):
+            kind = T.DoubleType()
+        fields.append(T.StructField(name, kind))
+    return T.StructType(fields)
 
 
 @dataclass
@@ -70,17 +91,14 @@ class RowRange(ds.InputPartition):
 
 
 def coerced(value, kind: T.DataType):  # noqa: ANN001, ANN201
-    """Values of a dynamically typed column in the column's one type; misfits are null."""
+    """A value of a dynamically typed column in the column's one type, which schema_of() has made wide enough."""
     if value is None:
         return None
     if isinstance(kind, T.StringType):
         return value.decode("utf-8", "replace") if isinstance(value, bytes) else str(value)
     if isinstance(kind, T.BinaryType):
         return value if isinstance(value, bytes) else str(value).encode()
-    try:
-        return int(value) if isinstance(kind, T.LongType) and float(value) == int(float(value)) else float(value) if isinstance(kind, T.DoubleType) else None
-    except (ValueError, OverflowError):
-        return None
+    return float(value) if isinstance(kind, T.DoubleType) else int(value)
 
 
 class SqliteReader(ds.DataSourceReader):
@@ -100,12 +118,14 @@ class SqliteReader(ds.DataSourceReader):
     def partitions(self) -> list[ds.InputPartition]:
         with connect(self.path) as con:
             try:
-                low, high = con.execute(f"select min(rowid), max(rowid) from {quoted(self.table)}").fetchone()
+                # every SPLIT_ROWS-th rowid, so ranges hold as many rows however the rowids lie
+                numbered = f"select rowid as r, row_number() over (order by rowid) as k from {quoted(self.table)}"
+                starts = [r[0] for r in con.execute(f"select r from ({numbered}) where (k - 1) % {SPLIT_ROWS} = 0 order by r")]
             except sqlite3.Error:  # views and tables without rowid
                 return [RowRange(None, None)]
-        if low is None:
+        if not starts:
             return [RowRange(None, None)]
-        return [RowRange(a, min(a + SPLIT_ROWS - 1, high)) for a in range(low, high + 1, SPLIT_ROWS)]
+        return [RowRange(a, z) for a, z in zip(starts, [*(x - 1 for x in starts[1:]), (1 << 63) - 1], strict=True)]
 
     def read(self, partition: RowRange) -> Iterator[pa.RecordBatch]:
         kinds = [f.dataType for f in self.schema_.fields]
