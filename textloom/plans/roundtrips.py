@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.engine import Engine
-from textloom.functions import dialect
 from textloom.operators import sinks
 from textloom.options import ReadOptions, WriteOptions
 
@@ -27,7 +26,11 @@ READ_BACK = "select c1 as o_orderkey, c2 as o_custkey, c3 as o_orderstatus, c4 a
 
 
 def _folder(spark: SparkSession) -> str:
-    to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")
+    to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not to:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+        to = tempfile.mkdtemp(prefix="textloom-")
     to = f"{to.rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
     if "://" not in to or to.startswith("file://"):
         os.makedirs(to.removeprefix("file://"), exist_ok=True)
@@ -101,6 +104,36 @@ def cached_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql(READ_BACK.format(part))
 
 
+def late_misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in the first 120 rows, more than a sample, and texts after them: a column's type comes from all rows, and no value is lost."""
+    to = _folder(spark) + "/late"
+    value = F.when(F.col("c_custkey") < 120, F.col("c_custkey").cast("string")).otherwise(F.col("c_name"))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy("c_custkey").coalesce(1).select(value.alias("v"), "c_custkey")
+    sinks.write_delimited(rows, to, WriteOptions(delimiter=","))
+    return Engine(spark, ReadOptions(delimiter=",")).sql(f"select c1 as v, c2 as k from {to}/part-*")
+
+
+def sqlite_misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reals and texts in columns declared as integers, and rowids far apart."""
+    import sqlite3
+
+    to = _folder(spark) + "/odd.db"
+    with sqlite3.connect(to) as con:
+        con.execute("create table t (a integer, b integer, c text)")
+        con.executemany("insert into t (rowid, a, b, c) values (?, ?, ?, ?)", [(1, 1, 1, "x"), (5, 5.5, "y", 7), (9 * 10**18, None, 3, None)])
+    return Engine(spark).sql(f"select a, b, c from {to}:::t")
+
+
+def quoted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file of quoted values with line ends in them, read in many splits."""
+    to = _folder(spark) + "/blocks"
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").coalesce(1).select("s_suppkey", F.concat(F.lit('a "quoted",\n'), "s_name", F.lit("\nvalue\n")).alias("v"))
+    sinks.write_delimited(rows, to, WriteOptions(delimiter=","))
+    engine = Engine(spark, ReadOptions(delimiter=","))
+    engine.spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    return engine.sql(f"select c1 as s_suppkey, c2 as v from {to}/part-*")
+
+
 def data_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bounded stream joined with itself under its registered name."""
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey").collect()  # 25 rows by definition
@@ -110,19 +143,21 @@ def data_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def own_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dialect's functions with its own argument orders, through SQL over a file name."""
+    """The dialect's functions with its own argument orders and rules for nulls, through SQL over a file name."""
+    none = "nullif(n_name, 'NATION_3')"
     return Engine(spark).sql(
-        f"select n_nationkey, regexp('_[0-4]$', n_name) as hit, regexp_extract('([A-Za-z]+)_?(.*)', n_name, 1) as part, md5(n_name, 'utf-8') as m, sha1(n_name) as s1, sha(n_name, 256, 'utf-8') as s2, power(n_nationkey, 2) as p, round(sqrt(n_nationkey), 9) as q from {sf_dir}/nation.parquet"
+        f"select n_nationkey, regexp('_[0-4]$', n_name) as hit, regexp('N', {none}) as some, regexp_extract('([A-Za-z]+)_?(.*)', n_name, 1) as part, md5(n_name, 'utf-8') as m, sha1(n_name) as s1, sha(n_name, 1, 'utf-8') as s0, sha(n_name, 256, 'utf-8') as s2, length(sha(n_name, 224, 'utf-8')) + length(sha(n_name, 384, 'utf-8')) + length(sha(n_name, 512, 'utf-8')) as l, power(n_nationkey, 2) as p, round(sqrt(n_nationkey), 9) as q from {sf_dir}/nation.parquet"
     )
 
 
-OWN_FUNCTIONS_SQL = r"select n_nationkey, cast(regexp_matches(n_name, '_[0-4]$') as int) as hit, case when regexp_matches(n_name, '([A-Za-z]+)_?(.*)') then regexp_extract(n_name, '([A-Za-z]+)_?(.*)', 2) end as part, md5(n_name) as m, sha1(n_name) as s1, sha256(n_name) as s2, power(cast(n_nationkey as double), 2) as p, round(sqrt(n_nationkey), 9) as q from nation"
+OWN_FUNCTIONS_SQL = r"select n_nationkey, cast(regexp_matches(n_name, '_[0-4]$') as int) as hit, cast(n_name <> 'NATION_3' as int) as some, case when regexp_matches(n_name, '([A-Za-z]+)_?(.*)') then regexp_extract(n_name, '([A-Za-z]+)_?(.*)', 2) end as part, md5(n_name) as m, sha1(n_name) as s1, sha1(n_name) as s0, sha256(n_name) as s2, 56 + 96 + 128 as l, power(cast(n_nationkey as double), 2) as p, round(sqrt(n_nationkey), 9) as q from nation"
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat("url", F.when(F.col("page_id") % 2 == 0, F.lit("/a.tar.gz")).otherwise(F.lit("")))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
-        "page_id", dialect.file_folder(url).alias("folder"), dialect.file_basename(url).alias("base"), dialect.file_ext(url).alias("ext"), dialect.file_basename_no_ext(url).alias("bare")
+    """The path functions, in SQL over a file name."""
+    path = f"{sf_dir}/pages.parquet"
+    return Engine(spark).sql(
+        f"select page_id, file_folder(u) as folder, file_basename(u) as base, file_ext(u) as ext, file_basename_no_ext(u) as bare from (select page_id, url || iif(page_id % 2 = 0, '/a.tar.gz', '') as u from {path}) x"
     )
 
 
@@ -135,7 +170,7 @@ from (select page_id, regexp_extract(u, '^(.*/)', 1) as head, regexp_extract(u,
 def dialect_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQLite's ways of writing: GLOB, LIKE without case, substr from 0, printf, group_concat, total, two-argument max."""
     return Engine(spark).sql(
-        f"select n_regionkey, count(*) as n, total(case when n_name glob '*[0-4]' then n_nationkey end) as t, max(max(n_nationkey, 5)) as m, min(substr(n_name, 0, 4)) as s, min(printf('%03d', n_nationkey)) as p, sum(n_name like 'NATION%' ) as l from {sf_dir}/nation.parquet group by n_regionkey".replace("sum(n_name like 'NATION%' )", "sum(iif(n_name like 'NATION%', 1, 0))")
+        f"select n_regionkey, count(*) as n, total(case when n_name glob '*[0-4]' then n_nationkey end) as t, max(max(n_nationkey, 5)) as m, min(substr(n_name, 0, 4)) as s, min(printf('%03d', n_nationkey)) as p, sum(iif(n_name like 'NATION%', 1, 0)) as l from {sf_dir}/nation.parquet group by n_regionkey"
     )
 
 
@@ -151,6 +186,9 @@ QUERIES = {
     "sqlite_roundtrip": sqlite_file,
     "sqlite_join_text": sqlite_join_text,
     "cache_roundtrip": cached_text,
+    "late_misfits": late_misfits,
+    "sqlite_misfits": sqlite_misfits,
+    "quoted_blocks": quoted_blocks,
     "data_stream": data_stream,
     "own_functions": own_functions,
     "file_names": file_names,
@@ -166,6 +204,9 @@ ORACLE_SQL = {
     "sqlite_roundtrip": ORDERS_SQL,
     "sqlite_join_text": "select r_name, count(*) as n from region r join nation n on n.n_regionkey = r.r_regionkey join customer c on c.c_nationkey = n.n_nationkey group by r_name",
     "cache_roundtrip": ORDERS_SQL,
+    "late_misfits": "select case when c_custkey < 120 then cast(c_custkey as varchar) else c_name end as v, c_custkey as k from customer",
+    "sqlite_misfits": "select a, b, c from (values (1.0::double, '1', 'x'), (5.5, 'y', '7'), (null, '3', null)) t(a, b, c)",
+    "quoted_blocks": "select s_suppkey, 'a \"quoted\",' || chr(10) || s_name || chr(10) || 'value' || chr(10) as v from supplier",
     "data_stream": "select cast(a.n_nationkey as bigint) as k, count(*) as n from nation a join nation b on a.n_regionkey = b.n_regionkey group by a.n_nationkey",
     "own_functions": OWN_FUNCTIONS_SQL,
     "file_names": FILE_NAMES_SQL,
