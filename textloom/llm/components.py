@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is a grouped minimum and a join on the node; hubs are pre-aggregated
-before the shuffle and the join may split them. Rounds are cut by checkpoints
-and end when the edges no longer change. No node, link or label meets the driver.
+before the shuffle and the join may split them. Each round's edges are a table
+in the shared folder, deleted when the next one's are written; rounds end when
+the edges no longer change. No node, link or label meets the driver.
 """
 
 from __future__ import annotations
@@ -10,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, table
+from textloom.llm.common import drop, table
 
 
 def _round(edges: DataFrame, large: bool) -> DataFrame:
-    """large: neighbours above a node are linked to the least around it; small: those up to it, itself included."""
+    """large: neighbours above a node are linked to the least around it; small: those up to it, itself included. The edges' table is deleted."""
     # the minima are written out, so that both sides of the join come straight from a shuffle and a hub's side can be split
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -24,18 +25,22 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
         # edges run from the higher node a to the lower b
         least = table(edges.groupBy("a").agg(F.min("b").alias("m")), "minima")
         moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return moved.where("a > b").distinct()
+    out = table(moved.where("a > b").distinct(), "edges")
+    drop(edges, least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): each node of edges (a, b longs) with the least node it is connected to."""
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    now = table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     seen = None
     while True:
-        now = cut(_round(_round(now, True), False))
+        now = _round(_round(now, True), False)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
     # all edges now lead to the least node of their component
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    out._textloom_table = now._textloom_table  # for drop()
+    return out

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import release, rows_of, ship, slices, table, text_bytes, two
+from textloom.llm.common import drop, release, rows_of, ship, slices, table, text_bytes, two
 from textloom.llm.components import components
 from textloom.llm.words import mix, shingle_sets
 
@@ -146,8 +146,8 @@ def _stars(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between labels inside unsettled buckets (bucket, rep, label, usual, bands).
+def _blocks(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between labels inside unsettled buckets (bucket, rep, label, usual, bands, text).
 
     `usual` is the bucket's most frequent label. The other members are dealt
     into blocks; each block's task sees them first (role 0), then all members
@@ -155,7 +155,7 @@ def _blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     """
     spark = members.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with_text = table(members.join(texts, "rep"), "blocks")
+    with_text = members
     rare = with_text.where("label <> usual").withColumn("block", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("n_rare") / STRETCH))).cast("int"))
     blocks = rare.select("bucket", "block").distinct()
     stretches = F.ceil(F.col("n_all") / (4 * STRETCH)).cast("int")
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rows = equal.select("rep", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     mates = table(rows.join(sizes, "bucket"), "mates")
-    links = None
+    links, spent = None, [mates]
     if rows_of(mates):
         degree = mates.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("degree"))
         hubs = mates.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("hub"))
@@ -227,19 +227,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         candidates = table(two(docs, id_col, text_col).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "rep"), "candidates")
         release(spark)
         first = table(_stars(salted, candidates, words, percent), "links")
-        labels = components(first) if rows_of(first) else first.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        labels = first.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        if rows_of(first):
+            labels = components(first)
+            spent.append(labels)
         labelled = starred.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
         per_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("k"))
         open_ = per_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("usual"), (F.sum("k") - F.max("k")).alias("n_rare"), F.sum("k").alias("n_all")).where("labels > 1").select("bucket", "usual", "n_rare", "n_all")
         unsettled = table(labelled.join(open_, "bucket"), "unsettled")
         links = first
+        spent += [salted, candidates, unsettled, first]
         if rows_of(unsettled):
             release(spark)
-            links = links.union(table(_blocks(unsettled.join(equal.select("rep", "bands"), "rep"), candidates, words, percent), "links"))
+            members = table(unsettled.join(equal.select("rep", "bands"), "rep").join(candidates, "rep"), "blocks")
+            more = table(_blocks(members, words, percent), "links")
+            links = links.union(more)
+            spent += [members, more]
     if links is None or not rows_of(links):
         label = signed.join(equal.select("set_a", "set_b", F.col("rep").alias("label")), ["set_a", "set_b"], "left")
     else:
-        found = equal.select("set_a", "set_b", "rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
+        final = components(links)
+        found = equal.select("set_a", "set_b", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
         label = signed.join(found.select("set_a", "set_b", F.coalesce("label", "rep").alias("label")), ["set_a", "set_b"], "left")
+    drop(*spent)  # the labels' edges, the sets and the signed rows are what the result reads
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("label"))
     return label.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
