@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import free_name, release, ship, slices, table, text_bytes
+from textloom.llm.common import drop, free_name, release, ship, slices, table, text_bytes
 from textloom.llm.words import Words
 
 LENGTH, SEED = 20, 8
@@ -186,8 +186,10 @@ def suspects(docs: DataFrame, row: str, length: int = LENGTH, seed: int = SEED,
     release(spark)
     both = rows.join(common, "anchor").select("doc_id", "row", "anchor").union(seen.select("doc_id", "row", F.explode("again").alias("anchor")))
     seeds = table(both.groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("seeds")), "doc-seeds")
+    drop(common)
     release(spark)
     held = table(texts.join(seeds, ["doc_id", "row"]).select(*KEY, "text", "seeds"), "suspects")
+    drop(seeds)
     release(spark)
     owners = _extended(held, length, seed).groupBy("tag", "hash").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"))
     owners = owners.select(F.when(F.col("row").isNull(), F.col("doc_id")).otherwise(0).alias("doc_id"), F.coalesce("row", F.lit(-1)).alias("row"), "hash")
