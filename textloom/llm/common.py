@@ -58,11 +58,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of table() results that nothing to come reads any more."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._textloom_table)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._textloom_table)
 
 
 def release(spark: SparkSession) -> None:

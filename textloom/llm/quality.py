@@ -15,7 +15,8 @@ the driver on at most about `max_rows` rated documents, picked by a hash of
 their ids; rating and id are never features. Scoring is one pass over whole texts.
 
 Defined cases: a null or empty text has features of an empty text; several
-ratings of one id count as their mean, rounded down; a null grade or id is no rating;
+ratings of one id count as their mean, rounded down, and of unlike texts of an
+id the least is learned from; a null grade or id is no rating;
 without ratings every document is kept with null figures; repeated rows are
 scored alike; extra columns stay untouched.
 """
@@ -151,11 +152,12 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rows: int = MAX_
     """Fit on about max_rows of ratings (doc_id, grade) at most; None where no text is rated."""
     ship(docs.sparkSession)
     rated = ratings.where("doc_id is not null and grade is not null").groupBy(F.col("doc_id").cast("long").alias("__rated")).agg(F.floor(F.avg("grade")).cast("int").alias("__grade"))
-    total = ratings.count()
     spot = F.pmod(F.xxhash64("__rated"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rated.where(spot < min(1.0, max_rows / max(1, total)))
+    picked = rated.where(spot < min(1.0, max_rows / max(1, rated.count())))
     texts = docs.select(docs[id_col].cast("long").alias("__rated"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    both = texts.join(picked, "__rated").select("text", "__grade", F.xxhash64("__rated").alias("__order"))
+    # max_rows bounds what is broadcast, so texts that aren't picked don't travel; an id's rows become one before they meet
+    once = texts.join(F.broadcast(picked), "__rated").groupBy("__rated", "__grade").agg(F.min("text").alias("text"))
+    both = once.select("text", "__grade", F.xxhash64("__rated").alias("__order"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, PART_BYTES):
