@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import minhash, packing, pii, quality, substrings
-from textloom.llm.common import keyed, shared_dir
+from textloom.llm.common import delete, keyed, shared_dir
 
 
 def _with_text(docs: DataFrame, row: str, text: DataFrame) -> DataFrame:
@@ -84,10 +84,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written as Parquet to the shared folder and read again."""
+    """All stages over the documents table, each written as Parquet to the shared folder and read again; what the next stage has read is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_dir(spark)}/textloom-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
+        if k:
+            delete(spark, f"{top}/{k - 1}")
     return docs
