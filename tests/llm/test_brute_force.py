@@ -70,6 +70,24 @@ def test_likeness_of_the_query(spark):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_one_id_fills_many_buckets(spark):
+    """A third of all rows without an id, and a hot id: they are dealt out, and each row still meets the next one."""
+    import xxhash
+
+    rng = random.Random(22)
+    rows = [(None, f"none {rng.random()} " + "x" * (i % 50)) for i in range(400)] + [(7, f"seven {i}") for i in range(300)] + [(100 + i, f"text {i} " * (i % 9)) for i in range(500)]
+    frame = ids_frame(spark, rows).repartition(5)
+    dealt = chunking.in_order(frame, 24).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in dealt) <= 4 * 1200 / 24
+    signed = lambda t: (h := xxhash.xxh64(t.encode(), seed=42).intdigest()) - (h >> 63 << 64)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    want = collections.Counter()
+    for (i, x), (_, y) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        want[i, hashlib.sha256((x[: len(x) - len(x) // 2] + y[: len(x) // 2]).encode()).hexdigest()] += 1
+    found = chunking.edited_likeness(frame).collect()
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in found) == want
+
+
 # --- op3
 
 

@@ -14,7 +14,7 @@ gear hash by doubling, the digests from prefix sums of a polynomial hash.
 
 Defined cases: null texts are empty; an empty fingerprint is contained in any
 other with 1 if that is empty too, else 0; rows with one id are ordered by
-their text, a null id comes first; a lone row's next document is itself; an
+a hash of their text, a null id comes first; a lone row's next document is itself; an
 empty table gives an empty result.
 """
 
@@ -159,45 +159,67 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return two(docs, id_col, text_col).mapInArrow(run, "doc_id long, digests array<long>, lengths array<int>")
 
 
+class Edges:
+    """Where the buckets of (key, spot) begin; a key that fills several has edges among its spots."""
+
+    def __init__(self, quantiles: list[int]) -> None:
+        per: dict[int, int] = {}
+        for k in quantiles:
+            per[k] = per.get(k, 0) + 1
+        self.keys = np.array([k for k in sorted(per) for _ in range(per[k])], np.int64)
+        self.spots = {k: np.array([-(1 << 63) + (j << 64) // n for j in range(n)], np.int64) for k, n in per.items()}
+
+    def bucket(self, key: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, key)
+        for k in np.intersect1d(key, self.keys).tolist():
+            own = key == k
+            at[own] += np.searchsorted(self.spots[k], spot[own], "right")
+        return at
+
+
 def in_order(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, ahead, key, doc_id, text), each bucket a run of ids in a partition, sorted.
+    """Rows (bucket, ahead, key, doc_id, text), each bucket a run in the order of ids, then of texts' hashes, in a partition, sorted.
 
     A bucket ends with the first row of the next one (ahead = 1; for the last
     bucket: of the first), so each row's successor is in its own partition and
-    texts are shuffled once. Only bucket bounds and least ids meet on the
-    driver: a few numbers for each bucket, whose number doesn't follow the rows.
+    texts are shuffled once. An id (or none) that many rows share fills as many
+    buckets as its share of the rows asks for. Only bucket bounds and first rows'
+    ids and hashes meet on the driver: a few numbers for each bucket, whose
+    number doesn't follow the rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "doc_id", "text")
-    bounds = sorted(set(rows.select("key").stat.approxQuantile("key", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
-    edges = np.array([int(x) for x in bounds], np.int64)
+    rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("spot"), "doc_id", "text")
+    edges = Edges([int(x) for x in rows.select("key").stat.approxQuantile("key", [i / buckets for i in range(1, buckets)], 0.2 / buckets)])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.searchsorted(edges, b.column(0).to_numpy(), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0)], ["bucket", "key"])
+            at = edges.bucket(b.column(0).to_numpy(), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *b.columns], ["bucket", "key", "spot"])
 
-    least = {r["bucket"]: r["key"] for r in rows.select("key").mapInArrow(place, "bucket int, key long").groupBy("bucket").agg(F.min("key").alias("key")).collect()}
+    placed = rows.select("key", "spot").mapInArrow(place, "bucket int, key long, spot long")
+    least = {r["bucket"]: tuple(r["first"]) for r in placed.groupBy("bucket").agg(F.min(F.struct("key", "spot")).alias("first")).collect()}
     used = sorted(least)
     before = {least[b]: used[i - 1] for i, b in enumerate(used)}
-    heads = np.array(sorted(before), np.int64)
-    goes = np.array([before[k] for k in heads.tolist()], np.int32)
+    firsts = np.array(sorted({k for k, _ in before}), np.int64)
 
     @F.pandas_udf("array<int>")
-    def homes(key):  # noqa: ANN001, ANN202
+    def homes(key, spot):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        k = key.to_numpy(np.int64)
-        own = np.searchsorted(edges, k, "right")
-        at = np.minimum(np.searchsorted(heads, k), len(heads) - 1)
-        return pd.Series([[a, b] if h else [a] for a, b, h in zip(own.tolist(), goes[at].tolist(), (heads[at] == k).tolist(), strict=True)])
+        k, s = key.to_numpy(np.int64), spot.to_numpy(np.int64)
+        out = [[a] for a in edges.bucket(k, s).tolist()]
+        for i in np.flatnonzero(np.isin(k, firsts)).tolist():
+            ahead = before.get((int(k[i]), int(s[i])))
+            if ahead is not None:
+                out[i].append(ahead)
+        return pd.Series(out)
 
     if not used:
         return spark.createDataFrame([], "bucket int, ahead int, key long, doc_id long, text string")
     return (
-        rows.select("key", "doc_id", "text", F.posexplode(homes("key")).alias("ahead", "bucket"))
+        rows.select("key", "spot", "doc_id", "text", F.posexplode(homes("key", "spot")).alias("ahead", "bucket"))
         .repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket")
-        .sortWithinPartitions("bucket", "ahead", "key", "text")
+        .sortWithinPartitions("bucket", "ahead", "key", "spot", "text")
         .select("bucket", "ahead", "key", "doc_id", "text")
     )
 
