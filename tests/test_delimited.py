@@ -269,3 +269,32 @@ def test_records_across_many_blocks(spark, tmp_path):
     frame = delimited.read(engine, [str(path)], options, Schema(["s", "n"], ["text", "int"]))
     assert sorted(map(tuple, frame.collect()), key=lambda r: r[1]) == [("a", 1), (long, 2), ("b", 3), *[("c\nd", i) for i in range(4, 60)]]
     assert delimited.blocks.lines(engine, [str(path)]).rdd.getNumPartitions() > 10
+
+
+@pytest.mark.parametrize("binary", [True, False])
+def test_long_streams_go_to_a_table(spark, monkeypatch, binary):
+    monkeypatch.setattr(delimited, "STREAM_ROWS", 60)
+    monkeypatch.setattr(delimited, "BATCH_ROWS", 25)
+    text = "n,s,r\n" + "".join(f'{i},"a\nb{i}",{i}\n' for i in range(330)) + "x,é,1.5\n"
+    stream = io.BytesIO(text.encode()) if binary else io.StringIO(text)
+    engine = Engine(spark, ReadOptions(delimiter=",", header=True), {"feed": stream})
+    info = engine.load("feed")
+    assert info.columns == [("n", "text"), ("s", "text"), ("r", "real")]
+    rows = sorted(map(tuple, info.frame.collect()), key=lambda r: r[2])
+    assert len(rows) == 331
+    assert ("x", "é", 1.5) in rows
+    assert ("329", "a\nb329", 329.0) in rows
+
+
+def test_sqlite_values_of_any_type_are_kept(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "odd.db")
+    with sqlite3.connect(path) as con:
+        con.execute("create table t (i integer, r real, b blob, s text, n numeric, w integer)")
+        con.executemany("insert into t (rowid, i, r, b, s, n, w) values (?, ?, ?, ?, ?, ?, ?)", [(-(1 << 62), 1, 1.5, b"x", "s", 3, 5), (3, 2.5, "t", b"y", 7, "n", 6), (1 << 62, None, None, None, None, None, 7)])
+    engine = Engine(spark)
+    info = engine.load(f"{path}:::t")
+    assert [k for _, k in info.columns] == ["real", "text", "blob", "text", "text", "int"]
+    assert sorted((tuple(r) for r in info.frame.collect()), key=lambda r: r[5]) == [(1.0, "1.5", bytearray(b"x"), "s", "3", 5), (2.5, "t", bytearray(b"y"), "7", "n", 6), (None, None, None, None, None, 7)]
+    assert [tuple(r) for r in engine.sql(f"select w from {path}:::t where i > 2").collect()] == [(6,)]

@@ -110,7 +110,7 @@ def sample(spark: SparkSession, paths: list[str], options: ReadOptions) -> tuple
 
 
 def _key(spark: SparkSession, paths: list[str], options: ReadOptions) -> tuple:
-    return tuple((p, *files.stat(spark, p)) for p in paths), options.quoting, options.header, options.backslash_escape
+    return tuple((p, *files.stamp(spark, p)) for p in paths), options.quoting, options.header, options.backslash_escape
 
 
 def is_plain(spark: SparkSession, paths: list[str], options: ReadOptions, schema: Schema | None = None) -> bool:

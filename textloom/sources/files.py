@@ -61,6 +61,14 @@ def stat(spark: SparkSession, path: str) -> tuple[int, int]:
     return s.st_size, s.st_mtime_ns
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, ...]:
+    """What changes with a file's content, even where it is written anew with equal size within a tick of the clock."""
+    if is_remote(path):
+        return stat(spark, path)
+    s = os.stat(local(path))
+    return s.st_size, s.st_mtime_ns, s.st_ctime_ns, s.st_ino
+
+
 def magic(spark: SparkSession, path: str, n: int = 16) -> bytes:
     if is_remote(path):
         p, fs = _fs(spark, path)
