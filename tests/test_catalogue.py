@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from textloom.plans import catalogue, roundtrips
+from textloom.plans import catalogue, readings, roundtrips
 
-ALL = catalogue.QUERIES | roundtrips.QUERIES
-SQL = catalogue.ORACLE_SQL | roundtrips.ORACLE_SQL
+ALL = catalogue.QUERIES | roundtrips.QUERIES | readings.QUERIES
+SQL = catalogue.ORACLE_SQL | roundtrips.ORACLE_SQL | readings.ORACLE_SQL
 
 
 def plain(v):
