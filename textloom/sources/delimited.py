@@ -139,24 +139,49 @@ def is_plain(spark: SparkSession, paths: list[str], options: ReadOptions, schema
         rows = spark.read.text(paths).withColumnRenamed("value", "line")
         numbers = any(k != "text" for k in schema.kinds) if schema else False
         if numbers:
-            text = Schema([f"f{i}" for i in range(len(schema.names))], ["text"] * len(schema.names))
-            lenient = options.merged(mode="relaxed", max_field=(1 << 31) - 1)
             own = F.lit(False)
             if options.header:
                 # each file's header is no row of numbers; a line equal to one is a row only if there are more of them than files
                 heads = {re.split(b"[\r\n]", files.head(spark, p, files.is_gzip(p, options.gzipped), 1 << 20), maxsplit=1)[0].decode("utf-8", "replace") for p in paths}
                 own = line.isin(sorted(heads))
-                checks.append(F.count_if("own").alias("heads"))
-            rows = rows.select("line", own.alias("own"), _parts(lenient, text).alias("p")).select("line", "own", *_values(F.when(~F.col("own"), F.col("p")), lenient, text))
-            checks += _checks(schema)
+                checks.append(F.count_if(own).alias("heads"))
+            checks.append(F.coalesce(F.bool_and(own | _fitting_line(options, schema)), F.lit(True)).alias("fit"))
         got = rows.agg(*checks).first()
         _plain[key] = not got["odd"]
         if numbers and not got["odd"]:
-            again = options.header and got["heads"] > len(paths)
-            _fits[_fits_key(key, options, schema)] = ["text"] * len(schema.kinds) if again else _fitting(schema, got)
+            if options.header and got["heads"] > len(paths):
+                kinds = ["text"] * len(schema.kinds)
+            elif got["fit"]:
+                kinds = schema.kinds
+            else:  # which columns it is that some value doesn't fit takes a second pass
+                text = Schema([f"f{i}" for i in range(len(schema.names))], ["text"] * len(schema.names))
+                kinds = _fitting(schema, split_lines(rows.where(~own), options.merged(mode="relaxed", max_field=(1 << 31) - 1), text).agg(*_checks(schema)).first())
+            _fits[_fits_key(key, options, schema)] = kinds
     return _plain[key]
 
 
+def _fitting_line(options: ReadOptions, schema: Schema) -> Column:
+    """Whether a line's fields fit the schema's types. One pattern tells it for nearly all lines; others are cut."""
+    line, n, d = F.col("line"), len(schema.kinds), options.delimiter
+    blank = "[\\t ]*+" if d not in "\t " else ""
+    number = {"int": "[+-]?+[0-9]{1,18}+", "real": "[+-]?+(?:[0-9]++(?:\\.[0-9]*+)?+|\\.[0-9]++)(?:[eE][+-]?+[0-9]++)?+"}
+    cut = "\\" + d if d in r"\.^$|?*+()[]{}-" else d
+    one = {k: f"{blank}(?:{x}{blank})?+" for k, x in number.items()} | {"text": f"[^{cut}]*+"}
+    pattern = "^" + (" ++" if d == " " and not options.keep_leading_space else cut).join(one[k] for k in schema.kinds) + "$"
+    parts = _parts(options.merged(mode="relaxed", max_field=(1 << 31) - 1), schema)
+    codes = F.array(*[F.lit(("text", "int", "real").index(k)) for k in schema.kinds])
+    trim = (lambda x: x) if options.keep_leading_space or d == " " else F.ltrim
+
+    def fits_one(x: Column, at: Column) -> Column:
+        code = F.get(codes, at)
+        number = F.when(code == 1, _typed(x, "int").isNotNull()).when(code == 2, _typed(x, "real").isNotNull()).otherwise(F.lit(True))
+        return number | (trim(x) == "")
+
+    cells = F.forall(F.transform(parts, fits_one), lambda x: x)
+    enough = F.lit(True) if schema.kinds[-1] == "text" else F.size(parts) <= n  # what is too much makes the last column text
+    return line.rlike(pattern) | (line == "") | (cells & enough)
+
+
 def _fits_key(key: tuple, options: ReadOptions, schema: Schema) -> tuple:
     return key, options.delimiter, options.keep_leading_space, options.columns, tuple(schema.names), tuple(schema.kinds)
 
