@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom import errors
 from textloom.errors import EngineError, translated
 from textloom.functions.dialect import COMPAT, OWN
-from textloom.operators import frames, repair, sqltext
+from textloom.operators import bands, frames, repair, sqltext
 from textloom.options import ReadOptions
 from textloom.sources import cache, delimited, files, sqlite
 from textloom.sources.infer import Schema
@@ -226,6 +226,10 @@ class Engine:
         return sqltext.rewrite_calls(out, OWN | (COMPAT if self.compat else {}) | self.functions), used
 
     def _settled(self, text: str, used: dict[str, TableInfo]) -> tuple[DataFrame, str]:
+        text = bands.counted(text, {t.view: t.frame for t in used.values()}, lambda part: self._analysed(part, used)[0])
+        return self._analysed(text, used)
+
+    def _analysed(self, text: str, used: dict[str, TableInfo]) -> tuple[DataFrame, str]:
         if not self.compat:
             return self.spark.sql(text), text
         decimals = bool(re.search(r"(?i)\bdecimal\b", text)) or any(kind.startswith("decimal") for t in used.values() for _, kind in t.frame.dtypes)
