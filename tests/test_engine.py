@@ -248,3 +248,33 @@ def test_follow(spark, tmp_path):
         assert sorted(map(tuple, spark.sql("select * from followed").collect())) == [(1, "x"), (2, "y")]
     finally:
         q.stop()
+
+
+def test_saved_rows_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    """Each task writes its own part; order, types, nulls and rows of all partitions stay, the parts go."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from textloom.operators import sinks
+
+    df = spark.range(0, 23_000, 1, 7).where("id < 6000 or id > 12000").selectExpr("id", "cast(id as string) || ' é\\'\"' as `a \"b`", "if(id % 3 = 0, null, id / 4) as x", "id % 2 = 0 as even", "cast(cast(id as string) as binary) as raw", "cast(id as decimal(9, 2)) as d", "if(id = 5, cast('NaN' as double), 1d) as nan", "cast(x'ff41' as string) as odd", "array(id) as list")
+    brought, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: brought.append(collect(self)) or brought[-1])
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_, **__: pytest.fail("rows came to the driver"))
+    sinks.save_tables({"t \"1\"": df, "none": df.where("id < 0")}, str(tmp_path / "o.db"))
+    assert sum(map(len, brought)) <= 7
+    monkeypatch.undo()
+    with sqlite3.connect(str(tmp_path / "o.db")) as con:
+        got = con.execute('select * from "t ""1""" order by rowid').fetchall()
+        assert con.execute("select count(*) from none").fetchone() == (0,)
+        assert [r[2] for r in con.execute("pragma table_info(none)")] == ["INT", "TEXT", "REAL", "INT", "BLOB", "TEXT", "REAL", "TEXT", "TEXT"]
+    assert got == [(i, f"{i} é'\"", None if i % 3 == 0 else i / 4, int(i % 2 == 0), str(i).encode(), f"{i}.00", None if i == 5 else 1.0, "�A", f"[{i}]") for i in range(23_000) if i < 6000 or i > 12000]
+    assert [f.name for f in tmp_path.iterdir()] == ["o.db"]
+
+
+def test_saved_rows_stream_where_no_folder_is_shared(spark, tmp_path, monkeypatch):
+    from textloom.operators import sinks
+
+    monkeypatch.setattr(sinks, "_parts_folder", lambda *_: None)
+    sinks.save_tables({"t": spark.range(0, 12_000, 1, 3).selectExpr("id", "cast(x'ff41' as string) as odd")}, str(tmp_path / "o.db"))
+    with sqlite3.connect(str(tmp_path / "o.db")) as con:
+        assert con.execute("select * from t order by rowid").fetchall() == [(i, "�A") for i in range(12_000)]
