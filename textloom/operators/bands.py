@@ -69,7 +69,7 @@ def counted(text: str, frames: dict[str, DataFrame], analysed: Callable[[str], D
     if found is None:
         return text
     kept, other, terms, edits, (a, z) = found
-    made = _matches(kept, other, terms, analysed)
+    made = _matches(kept, other, terms, analysed, text.lower())
     if made is None:
         return text
     frame, column = made
@@ -250,8 +250,8 @@ def _common(a: str, b: str) -> str | None:
     return a if a == b and (a in ("date", "timestamp", "timestamp_ntz") or a.startswith("decimal")) else None
 
 
-def _matches(kept: Table, other: Table, terms: list[tuple[str, str, str]], analysed: Callable[[str], DataFrame]) -> tuple[DataFrame, str] | None:
-    """The kept table's rows that have matches, with their number in a column of its own."""
+def _matches(kept: Table, other: Table, terms: list[tuple[str, str, str]], analysed: Callable[[str], DataFrame], text: str) -> tuple[DataFrame, str] | None:
+    """The kept table's rows that have matches, with their number in a column whose name the query's text doesn't have."""
     lower = [t for t in terms if t[1] in (">", ">=")]
     upper = [t for t in terms if t[1] in ("<", "<=")]
     if len(lower) > 1 or len(upper) > 1:
@@ -265,7 +265,7 @@ def _matches(kept: Table, other: Table, terms: list[tuple[str, str, str]], analy
         # the other table's rows are intervals, from what is at most the kept value to what is at least it; those that are empty match nothing
         closed = steps[0].inclusive and not steps[1].inclusive
     taken = kept.columns
-    free = lambda name: name if name not in taken else free(f"_{name}")
+    free = lambda name: name if name not in taken and name not in text else free(f"_{name}")
     ours = list(dict.fromkeys(s.kept for s in steps))
     theirs = list(dict.fromkeys(s.other for s in steps))
     own = {x: free(f"bound{i}") for i, x in enumerate(ours)}
